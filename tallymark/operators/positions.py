@@ -30,7 +30,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def rows_before(sizes: DataFrame, group: Sequence[str], levels: Sequence[str], size: str) -> DataFrame:
-    """Add ``__before``: rows in earlier buckets of the same group.
+    """Add ``__before`` and ``__all``: rows in earlier buckets, and in all, of the same group.
 
     ``levels`` are nested buckets, coarse to fine, each sorted inside the one
     above it. Running totals are taken level by level, so one window partition
@@ -51,6 +51,8 @@ def rows_before(sizes: DataFrame, group: Sequence[str], levels: Sequence[str], s
         step = totals.withColumn(
             f"__before{depth}", F.coalesce(F.sum(size).over(earlier), F.lit(0).cast("bigint"))
         )
+        if depth == 0:
+            step = step.withColumn("__all", F.sum(size).over(_partition(group)))
         if depth < len(levels) - 1:
             step = step.drop(size)
         result = step if result is None else join_null_safe(step, result, parents)
@@ -78,7 +80,7 @@ def with_position(
     names = [f"__level{i}" for i in range(len(levels))]
     bucketed = df.withColumns(dict(zip(names, levels)))
     sizes = bucketed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("__size"))
-    offsets = rows_before(sizes, group, names, "__size").drop("__size")
+    offsets = rows_before(sizes, group, names, "__size").drop("__size", "__all")
     inside = F.row_number().over(Window.partitionBy(*group, *names).orderBy(*order))
     numbered = bucketed.withColumn("__inside", inside)
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallymark.fixed import TOKEN_QUANTILE
 from tallymark.functions.keys import match_id
 from tallymark.functions.numbers import as_count
-from tallymark.operators.positions import join_null_safe, rows_before
+from tallymark.operators.positions import rows_before
 from tallymark.schemas import NATURAL_KEY
 
 Position = Callable[[Column], Column]
@@ -42,39 +42,45 @@ def values_at(
     *,
     group: Sequence[str] = (),
     weight: str | None = None,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact values at sorted positions of each group, one row per group.
 
     Equal values are counted before the shuffle, so repeated values cost
     nothing. Running counts are taken over value buckets and then inside a
-    bucket; no task ever holds a group.
+    bucket; no task ever holds a group. ``sums`` are further totals over all
+    rows of the group, taken in the same pass.
     """
-    group = list(group)
+    group, sums = list(group), dict(sums or {})
     weights = F.col(weight) if weight else F.lit(1)
+    known = F.when(F.col(value).isNull(), F.lit(0)).otherwise(weights)
     counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.sum(weights).cast("bigint").alias("__count"))
+        df.groupBy(*group, value)
+        .agg(
+            F.sum(known).cast("bigint").alias("__count"),
+            *[F.sum(column).alias(name) for name, column in sums.items()],
+        )
         .withColumn("__bucket", value_bucket(F.col(value)))
     )
     ranked = rows_before(counted, group, ["__bucket", value], "__count")
-    totals = counted.groupBy(*group).agg(F.sum("__count").alias("__n"))
-    if group:
-        ranked = join_null_safe(ranked, totals, group)
-    else:
-        ranked = ranked.withColumn("__n", totals.select("__n").scalar())
     picks = []
     for name, position in positions.items():
-        at = position(F.col("__n"))
+        at = position(F.col("__all"))
         here = (at >= F.col("__before")) & (at < F.col("__before") + F.col("__count"))
         picks.append(F.max(F.when(here, F.col(value))).alias(name))
-    return ranked.groupBy(*group).agg(*picks)
+    return ranked.groupBy(*group).agg(*picks, *[F.sum(name).alias(name) for name in sums])
 
 
-def exact_median(df: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
+def exact_median(
+    df: DataFrame,
+    value: str,
+    group: Sequence[str],
+    name: str,
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Median that averages the two middle values."""
     middle = values_at(
-        df, value, {"__low": lower_middle, "__high": upper_middle}, group=group
+        df, value, {"__low": lower_middle, "__high": upper_middle}, group=group, sums=sums
     )
     half = (F.col("__low") + F.col("__high")) / F.lit(2.0)
     return middle.withColumn(name, half).drop("__low", "__high")
@@ -113,17 +119,22 @@ def joined_token_counts(
 def token_statistics(
     counts: DataFrame, raw_tokens: str, clean_tokens: str, q: float = TOKEN_QUANTILE
 ) -> DataFrame:
-    """Mean and high quantile of raw and cleaned token counts, truncated."""
-    means = counts.agg(
-        *[
-            F.try_divide(F.sum(F.col(name) * F.col("pairs")).cast("double"), F.sum("pairs")).alias(name)
-            for name in (clean_tokens, raw_tokens)
-        ]
-    ).select(
-        as_count(clean_tokens).alias("avg_clean"),
-        as_count(raw_tokens).alias("avg_raw"),
+    """Mean and high quantile of raw and cleaned token counts, truncated, in one row."""
+    pairs = F.col("pairs")
+    sides = F.array(
+        F.struct(F.lit("clean").alias("text"), F.col(clean_tokens).alias("tokens"), pairs.alias("rows")),
+        F.struct(F.lit("raw").alias("text"), F.col(raw_tokens).alias("tokens"), pairs.alias("rows")),
     )
-    for name, label in ((clean_tokens, "high_clean"), (raw_tokens, "high_raw")):
-        quantile = values_at(counts, name, {label: nearest_rank(q)}, weight="pairs")
-        means = means.withColumn(label, as_count(quantile.select(label).scalar()))
-    return means
+    found = values_at(
+        counts.select(F.inline(sides)),
+        "tokens",
+        {"high": nearest_rank(q)},
+        group=["text"],
+        weight="rows",
+        sums={"rows": F.col("rows"), "tokens_sum": F.col("tokens") * F.col("rows")},
+    ).withColumn("avg", F.try_divide(F.col("tokens_sum").cast("double"), "rows"))
+
+    def only(text: str, name: str) -> Column:
+        return as_count(F.max(F.when(F.col("text") == text, F.col(name)))).alias(f"{name}_{text}")
+
+    return found.agg(*[only(text, name) for name in ("avg", "high") for text in ("clean", "raw")])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ from tallymark import fixed
 from tallymark.functions import labels as lb
 from tallymark.functions import numbers as nm
 from tallymark.functions import text as tx
+from tallymark.learning import classifiers as cf
+from tallymark.learning import diverse as kc
+from tallymark.learning import grid as gr
+from tallymark.learning import nearest as nn
+from tallymark.learning import scoring as sc
+from tallymark.learning import vectors as vc
 from tallymark.operators import clusters as cl
 from tallymark.operators import filters as fl
 from tallymark.operators import joins as jn
@@ -819,3 +827,223 @@ def cluster_match(spark, sf_dir):
     before = cl.agreement(pairs, "c1", "c2").withColumn("stage", F.lit("before"))
     after = cl.agreement(cl.relabel(pairs, "c1", "c2"), "c1", "c2").withColumn("stage", F.lit("after"))
     return _round(before.unionByName(after), "agreement")
+
+
+@query(
+    f"""WITH counts AS (SELECT label, count(*) AS rows FROM embeddings GROUP BY label)
+SELECT label, rows, round(CAST(sum(rows) OVER () AS DOUBLE) / (count(*) OVER () * rows), 6) AS weight FROM counts"""
+)
+def class_weights(spark, sf_dir):
+    return _round(cf.class_weights(dv.table(spark, sf_dir, "embeddings"), "label"), "weight")
+
+
+_SEPARABLE = "points AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, 'q' || CAST(CAST(embedding[1] > 0 AS INTEGER) * 2 + CAST(embedding[2] > 0 AS INTEGER) AS VARCHAR) AS label FROM embeddings)"
+_KNN = """SELECT vec_id, truth, arg_min(label, (-round(votes, 9), label)) AS prediction FROM (
+  SELECT vec_id, truth, label, sum(1 / d) AS votes FROM (
+    SELECT t.vec_id, t.label AS truth, s.label, {distance} AS d,
+      row_number() OVER (PARTITION BY t.vec_id ORDER BY {distance}, s.label) AS place
+    FROM points t JOIN sample s ON true WHERE t.vec_id NOT IN (SELECT vec_id FROM sample))
+  WHERE place <= 15 GROUP BY ALL) GROUP BY vec_id, truth"""
+_SAMPLE = f"""sample AS (SELECT vec_id, v, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sq.order_hash('vec_id', 3)}, vec_id) AS place FROM points) WHERE place <= 20)"""
+
+
+def _neighbour_vote(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    points = dv.separable(spark, sf_dir)
+    train = sm.stratified_sample(points, "label", 20, "vec_id", 3)
+    rest = points.join(train.select("vec_id"), "vec_id", "left_anti")
+    found = nn.classify(rest, train, label="label", key="vec_id", vector="embedding", k=15, metric=metric)
+    return found.select("vec_id", F.col("label").alias("truth"), "prediction")
+
+
+@query(f"WITH {_SEPARABLE}, {_SAMPLE} " + _KNN.format(distance="list_distance(t.v, s.v)"))
+def knn_euclidean(spark, sf_dir):
+    return _neighbour_vote(spark, sf_dir, "euclidean")
+
+
+@query(f"WITH {_SEPARABLE}, {_SAMPLE} " + _KNN.format(distance="(1 - list_cosine_similarity(t.v, s.v))"))
+def knn_cosine(spark, sf_dir):
+    return _neighbour_vote(spark, sf_dir, "cosine")
+
+
+@query(
+    f"WITH {_SEPARABLE}, {_SAMPLE} "
+    + _KNN.format(distance="list_sum(list_transform(range(1, len(t.v) + 1), lambda i: abs(t.v[i] - s.v[i])))")
+)
+def knn_manhattan(spark, sf_dir):
+    return _neighbour_vote(spark, sf_dir, "manhattan")
+
+
+@query()
+def kcentre_sample(spark, sf_dir):
+    """Diverse rows of every label."""
+    vectors = dv.table(spark, sf_dir, "embeddings")
+    found = kc.kcentre_sample(vectors, group="label", key="vec_id", vector="embedding", n=20)
+    return found.select("vec_id", "label")
+
+
+@query()
+def project_vectors(spark, sf_dir):
+    """Share of variance of the first components, and their largest mean."""
+    out = vc.project(dv.table(spark, sf_dir, "embeddings"), "embedding", 8)
+    parts = out.select("vec_id", F.posexplode("components").alias("component", "x"))
+    return parts.groupBy("component").agg(F.var_pop("x").alias("variance"), F.avg("x").alias("mean"))
+
+
+def _cluster_sizes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    found = vc.cluster(dv.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", mode=mode, columns=16)
+    return found.groupBy("cluster_mode", "cluster_label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def cluster_kmeans(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "kmeans")
+
+
+@query()
+def cluster_hierarchical(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "agglomerative")
+
+
+@query()
+def cluster_spectral(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "spectral")
+
+
+_SMALL_GRID = {
+    "svc": {"C": [0.1]},
+    "knn": {"n_neighbors": [15, 50], "metric": ["cosine"]},
+    "rf": {"n_estimators": [20], "max_depth": [5]},
+    "gnb": {},
+    "lr": {"C": [0.01, 0.9], "penalty": ["l2"]},
+}
+
+
+@query()
+def grid_search(spark, sf_dir):
+    """Mean weighted F1 of each classifier and parameter set over four folds."""
+    return gr.grid_search(
+        dv.separable(spark, sf_dir), gr.candidates(_SMALL_GRID, [25]), embedding="embedding",
+        source="derived", key="vec_id", label="label",
+    )
+
+
+@query()
+def repeated_cv(spark, sf_dir):
+    """F1 and accuracy of two classifiers on four folds, drawn twice."""
+    winners = [("gnb", {}, 25), ("lr", {"C": 0.9, "penalty": "l2"}, 25)]
+    return gr.repeated_cv(
+        dv.separable(spark, sf_dir), winners, embedding="embedding", source="derived", key="vec_id",
+        label="label", repeats=2,
+    )
+
+
+@query()
+def compare_embeddings(spark, sf_dir):
+    """The same classifier on two vectors of every row."""
+    both = dv.separable(spark, sf_dir).withColumn("halved", F.slice("embedding", 1, 32))
+    return gr.compare_embeddings(
+        both, ("gnb", {}, 16), ["embedding", "halved"], source="derived", key="vec_id", label="label", repeats=1
+    )
+
+
+@query()
+def predict_rest(spark, sf_dir):
+    """Fit on a diverse sample, predict all other rows with their certainty."""
+    points = dv.separable(spark, sf_dir)
+    sample = kc.kcentre_sample(points, group="label", key="vec_id", vector="embedding", n=30)
+    rest = points.join(sample.select("vec_id"), "vec_id", "left_anti")
+    found = gr.fit_and_predict(
+        sample, rest, ("lr", {"C": 0.9, "penalty": "l2"}, 25), key="vec_id", vector="embedding", label="label"
+    )
+    return found.select("vec_id", "truth", "predicted", F.round("entropy", 6).alias("entropy"))
+
+
+@query()
+def hashed_vectors(spark, sf_dir):
+    """Vectors of the cleaned text without a model."""
+    text = vc.model_text(dv.messages(spark, sf_dir)).select("doc_id", "model_text", "num_tokens")
+    found = vc.embed_hashed(text, "model_text", "vector", width=64)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return found.select("doc_id", "num_tokens", F.round(norm, 4).alias("norm"))
+
+
+def _letter_counts():
+    def score(texts: np.ndarray) -> np.ndarray:
+        return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+    return score
+
+
+@query(
+    f"""WITH {sq.MESSAGES}, cleaned AS (SELECT *, {sq.clean_text('body')} AS clean FROM messages),
+counted AS (SELECT *, {sq.count_tokens('clean')} AS num_tokens FROM cleaned),
+composed AS (SELECT doc_id, num_tokens, replace('Subject: ' || subject || chr(10) || 'From: ' || sender || chr(10) ||
+  substr(clean, 1, CAST(floor(CAST(length(clean) AS DOUBLE) * 8192 / (num_tokens + 1)) AS BIGINT)), chr(65533), '') AS t FROM counted)
+SELECT doc_id, num_tokens, CAST(length(t) AS DOUBLE) AS characters, CAST(length(t) - length(replace(t, 'a', '')) AS DOUBLE) AS letters FROM composed"""
+)
+def model_vectors(spark, sf_dir):
+    text = vc.model_text(dv.messages(spark, sf_dir)).select("doc_id", "model_text", "num_tokens")
+    found = vc.embed_with(text, "model_text", _letter_counts, "vector", tokens="num_tokens")
+    return found.select(
+        "doc_id", "num_tokens",
+        F.element_at("vector", 1).cast("double").alias("characters"),
+        F.element_at("vector", 2).cast("double").alias("letters"),
+    )
+
+
+_RULE_TEMPLATE = "{subject}\n{from}\n{text}"
+
+
+def _rule_predictor():
+    """Stands in for a language model: the class follows from counting a letter."""
+
+    def predict(prompt: str, model: str, temperature: float) -> str:
+        count = prompt.count("e")
+        if count % 13 == 0:
+            raise TimeoutError(model)
+        return json.dumps(
+            {
+                "class_label": fixed.CLASSES[(count + len(model)) % 11],
+                "alternative_label": "two words",
+                "subject_suggestion": "note" if count % 5 else "Not Valid",
+            }
+        )
+
+    return predict
+
+
+_RULE = f"""prompts AS (SELECT *, {sq.trim_all(sq.clean_text('body'))} AS clean FROM messages),
+filled AS (SELECT *, subject || chr(10) || sender || chr(10) || CASE WHEN length(clean) = 0 THEN body ELSE clean END AS prompt FROM prompts),
+letters AS (SELECT doc_id, length(prompt) - length(replace(prompt, 'e', '')) AS e FROM filled),
+asked AS (SELECT doc_id, model, e, e % 13 = 0 OR e % 5 = 0 AS failed FROM letters CROSS JOIN models),
+answered AS (SELECT doc_id, model,
+  CASE WHEN failed THEN 'N/A' ELSE [{', '.join(sq.quoted(c) for c in fixed.CLASSES)}][(e + length(model)) % 11 + 1] END AS primary_category,
+  CASE WHEN failed THEN 'N/A' ELSE 'note' END AS subject_suggestion,
+  CASE WHEN failed THEN 'N/A' ELSE 'two words' END AS alternative_category FROM asked)"""
+
+
+@query(
+    f"""WITH {sq.VOTES}, {sq.MESSAGES}, {_RULE}
+SELECT a.* FROM answered a JOIN votes v USING (doc_id, model) WHERE v.category IS NULL"""
+)
+def classify_pending(spark, sf_dir):
+    done = fl.complete(dv.votes(spark, sf_dir), ["category"])
+    found = sc.classify_pending(
+        dv.messages(spark, sf_dir), dv.MODELS, done, _rule_predictor, key="doc_id", template=_RULE_TEMPLATE
+    )
+    return found.select("doc_id", "model", "primary_category", "subject_suggestion", "alternative_category")
+
+
+@query(
+    f"""WITH {sq.MODEL_TABLE}, {sq.MESSAGES}, {_RULE}, {sq.TRUTH},
+ranked AS (SELECT doc_id, truth, row_number() OVER (PARTITION BY truth ORDER BY {sq.order_hash('doc_id', 5)}, doc_id) AS place FROM truths)
+SELECT model, truth, primary_category, count(*) AS rows FROM answered JOIN ranked USING (doc_id) CROSS JOIN range(0, 30) r(sample)
+WHERE place <= 5 GROUP BY ALL"""
+)
+def repeat_scoring(spark, sf_dir):
+    labelled = dv.messages(spark, sf_dir).join(dv.truth(spark, sf_dir), "doc_id")
+    found = sc.repeat_scoring(
+        labelled, dv.MODELS, _rule_predictor, key="doc_id", label="truth",
+        per_class=fixed.PER_CLASS_RESAMPLED, template=_RULE_TEMPLATE,
+    )
+    return found.groupBy("model", "truth", "primary_category").agg(F.count(F.lit(1)).alias("rows"))
