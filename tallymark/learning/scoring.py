@@ -64,19 +64,43 @@ def ask(
     return df.mapInPandas(run, schema)
 
 
-def classify_messages(
+def classify_prompts(
     work: DataFrame,
     make_predictor: Callable[[], Predictor],
     *,
-    template: str = DEFAULT_PROMPT,
     temperature: float = 0.0,
     classes: Sequence[str] = CLASSES,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Predictions for a work list of (message, model) rows; bad replies become failures."""
-    asked = ask(prompts(work, template, classes), make_predictor, temperature=temperature)
+    """Predictions for rows of (prompt, model); bad replies become failures.
+
+    Calls cost far more than moving a prompt, so the rows are dealt out evenly
+    over ``tasks``; otherwise the calls for a small sample would share one task.
+    """
+    tasks = tasks or max(
+        work.sparkSession.sparkContext.defaultParallelism,
+        int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+    spread = work.repartition(tasks, F.xxhash64(*[c for c in work.columns if c != "prompt"], "prompt"))
+    asked = ask(spread, make_predictor, temperature=temperature)
     return asked.withColumns(reply_columns("reply", classes)).drop("reply")
 
 
+def classify_messages(
+    messages: DataFrame,
+    models: Sequence[str],
+    make_predictor: Callable[[], Predictor],
+    *,
+    template: str = DEFAULT_PROMPT,
+    resamples: int | None = None,
+    classes: Sequence[str] = CLASSES,
+    **how,
+) -> DataFrame:
+    """Predictions of every model for every message; a message is cleaned once."""
+    work = work_list(prompts(messages, template, classes), models, resamples)
+    return classify_prompts(work, make_predictor, classes=classes, **how)
+
+
 def classify_pending(
     messages: DataFrame,
     models: Sequence[str],
@@ -84,11 +108,20 @@ def classify_pending(
     make_predictor: Callable[[], Predictor],
     *,
     key: str,
+    template: str = DEFAULT_PROMPT,
+    classes: Sequence[str] = CLASSES,
     **how,
 ) -> DataFrame:
-    """Predictions for the (message, model) pairs that have none yet, to be appended."""
-    work = pending_work(work_list(messages, models), done, [key, "model"])
-    return classify_messages(work, make_predictor, **how)
+    """Predictions for the (message, model) pairs that have none yet, to be appended.
+
+    Pending pairs are found on keys alone, then gathered per message (at most
+    one entry per model), so only messages with work are cleaned, and once.
+    """
+    pairs = pending_work(work_list(messages.select(key), models), done, [key, "model"])
+    pending = pairs.groupBy(key).agg(F.collect_set("model").alias("__models"))
+    waiting = prompts(messages.join(pending, key), template, classes)
+    work = waiting.withColumn("model", F.explode("__models")).drop("__models")
+    return classify_prompts(work, make_predictor, classes=classes, **how)
 
 
 def repeat_scoring(
@@ -106,5 +139,6 @@ def repeat_scoring(
 ) -> DataFrame:
     """Ask every model repeatedly about a stratified sample of labelled messages."""
     sample = stratified_sample(labelled, label, per_class, key, seed)
-    work = work_list(sample, models, resamples)
-    return classify_messages(work, make_predictor, temperature=temperature, **how)
+    return classify_messages(
+        sample, models, make_predictor, resamples=resamples, temperature=temperature, **how
+    )
