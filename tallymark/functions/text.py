@@ -11,7 +11,7 @@ import html
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,8 +106,29 @@ def clean_text(column: str | Column) -> Column:
 
 def clean_or_raw(column: str | Column) -> Column:
     """Cleaned text, or the raw body when nothing visible is left."""
-    cleaned = trim_all(clean_text(column))
-    return F.when(F.length(cleaned) == 0, _text(column)).otherwise(cleaned)
+    return _or_raw(trim_all(clean_text(column)), _text(column))
+
+
+def _or_raw(cleaned: Column, raw: Column) -> Column:
+    return F.when(F.length(cleaned) == 0, raw).otherwise(cleaned)
+
+
+def with_clean_text(df: DataFrame, body: str, name: str, *, or_raw: bool = False) -> DataFrame:
+    """Add the cleaned text of ``body`` step by step.
+
+    Same result as :func:`clean_text` (or :func:`clean_or_raw`). The steps are
+    columns of their own, so the patterns run once per row although the decoder
+    needs their result in three places.
+    """
+    steps = (
+        df.withColumn("__bare", strip_markup(remove_urls(body)))
+        .withColumn("__decoded", decode_entities("__bare"))
+        .withColumn("__line", trim_lines("__decoded"))
+    )
+    if or_raw:
+        steps = steps.withColumn("__line", trim_all("__line"))
+        steps = steps.withColumn("__line", _or_raw(F.col("__line"), F.col(body)))
+    return steps.withColumn(name, F.col("__line")).drop("__bare", "__decoded", "__line")
 
 
 def count_tokens(column: str | Column, *, is_cleaned: bool = True) -> Column:

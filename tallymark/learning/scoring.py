@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallymark.fixed import CLASSES, RESAMPLE_TEMPERATURE, RESAMPLES
 from tallymark.functions.labels import reply_columns
-from tallymark.functions.text import DEFAULT_PROMPT, clean_or_raw, render_prompt
+from tallymark.functions.text import DEFAULT_PROMPT, render_prompt, with_clean_text
 from tallymark.operators.joins import pending_work, work_list
 from tallymark.operators.sampling import stratified_sample
 
@@ -26,9 +26,10 @@ def prompts(df: DataFrame, template: str = DEFAULT_PROMPT, classes: Sequence[str
         "from": F.col("from"),
         "date": F.to_date("date"),
         "subject": F.col("subject"),
-        "text": clean_or_raw("body"),
+        "text": F.col("__clean"),
     }
-    return df.withColumn("prompt", render_prompt(filled, fields))
+    cleaned = with_clean_text(df, "body", "__clean", or_raw=True)
+    return cleaned.withColumn("prompt", render_prompt(filled, fields)).drop("__clean")
 
 
 def ask(

@@ -14,16 +14,25 @@ from tallymark.schemas import NATURAL_KEY
 def join_messages(
     left: DataFrame,
     right: DataFrame,
+    columns: Sequence[str],
     how: str = "inner",
     key: Sequence[str] = NATURAL_KEY,
 ) -> DataFrame:
-    """Join two message tables on their key; a null in the key matches nothing.
+    """Join two message tables on their key, taking ``columns`` from the right.
 
-    Only a digest travels with the right side; the key columns come from the left.
+    A null in the key matches nothing. Copies of a message multiply in such a
+    join. Equal right rows are folded before it, and ``copies`` says how many
+    rows a plain join would give for each row here, so a message with a million
+    copies on both sides stays a million rows. :func:`repeat_copies` writes
+    them out. Only a digest of the key travels with the right side.
     """
-    keyed_left = left.withColumn("__id", match_id(key))
-    keyed_right = right.withColumn("__id", match_id(key)).drop(*key)
-    return keyed_left.join(keyed_right, "__id", how).drop("__id")
+    folded = (
+        right.select(match_id(key).alias("__id"), *columns)
+        .groupBy("__id", *columns)
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    joined = left.withColumn("__id", match_id(key)).join(folded, "__id", how).drop("__id")
+    return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
 
 def without_messages(left: DataFrame, seen: DataFrame, key: Sequence[str] = NATURAL_KEY) -> DataFrame:
@@ -38,23 +47,8 @@ def attach_vectors(
     columns: Sequence[str],
     key: Sequence[str] = NATURAL_KEY,
 ) -> DataFrame:
-    """Predictions left-joined with embeddings; rows without a full set are dropped.
-
-    Copies of a message carry equal vectors, so they are folded before the join
-    and ``copies`` says how many rows a plain join would give. Use
-    :func:`repeat_copies` where those rows are wanted.
-    """
-    folded = (
-        vectors.select(match_id(key).alias("__id"), *columns)
-        .groupBy("__id", *columns)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    return (
-        predictions.withColumn("__id", match_id(key))
-        .join(folded, "__id", "left")
-        .drop("__id")
-        .na.drop(subset=list(columns))
-    )
+    """Predictions left-joined with embeddings; rows without a full set are dropped."""
+    return join_messages(predictions, vectors, columns, "left", key).na.drop(subset=list(columns))
 
 
 def repeat_copies(df: DataFrame, copies: str = "copies") -> DataFrame:

@@ -14,6 +14,8 @@ from tallymark.operators.positions import rows_before
 from tallymark.schemas import NATURAL_KEY
 
 Position = Callable[[Column], Column]
+#: Rows behind one counted value, for ``totals`` expressions.
+ROWS = "__rows"
 
 
 def nearest_rank(q: float) -> Position:
@@ -42,25 +44,26 @@ def values_at(
     *,
     group: Sequence[str] = (),
     weight: str | None = None,
-    sums: Mapping[str, Column] | None = None,
+    flags: Sequence[str] = (),
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact values at sorted positions of each group, one row per group.
 
     Equal values are counted before the shuffle, so repeated values cost
     nothing. Running counts are taken over value buckets and then inside a
-    bucket; no task ever holds a group. ``sums`` are further totals over all
-    rows of the group, taken in the same pass.
+    bucket; no task ever holds a group.
+
+    ``totals`` are further sums over all rows of the group, written over the
+    counted rows: the value, the ``flags`` columns and ``ROWS``. Flags are part
+    of the counting key, so both uses of the counts share one scan and shuffle.
     """
-    group, sums = list(group), dict(sums or {})
-    weights = F.col(weight) if weight else F.lit(1)
-    known = F.when(F.col(value).isNull(), F.lit(0)).otherwise(weights)
+    group, totals = list(group), dict(totals or {})
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (
-        df.groupBy(*group, value)
-        .agg(
-            F.sum(known).cast("bigint").alias("__count"),
-            *[F.sum(column).alias(name) for name, column in sums.items()],
-        )
+        df.groupBy(*group, value, *flags)
+        .agg(rows.cast("bigint").alias(ROWS))
         .withColumn("__bucket", value_bucket(F.col(value)))
+        .withColumn("__count", F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col(ROWS)))
     )
     ranked = rows_before(counted, group, ["__bucket", value], "__count")
     picks = []
@@ -68,19 +71,15 @@ def values_at(
         at = position(F.col("__all"))
         here = (at >= F.col("__before")) & (at < F.col("__before") + F.col("__count"))
         picks.append(F.max(F.when(here, F.col(value))).alias(name))
-    return ranked.groupBy(*group).agg(*picks, *[F.sum(name).alias(name) for name in sums])
+    return ranked.groupBy(*group).agg(
+        *picks, *[F.sum(column).alias(name) for name, column in totals.items()]
+    )
 
 
-def exact_median(
-    df: DataFrame,
-    value: str,
-    group: Sequence[str],
-    name: str,
-    sums: Mapping[str, Column] | None = None,
-) -> DataFrame:
+def exact_median(df: DataFrame, value: str, group: Sequence[str], name: str, **more) -> DataFrame:
     """Median that averages the two middle values."""
     middle = values_at(
-        df, value, {"__low": lower_middle, "__high": upper_middle}, group=group, sums=sums
+        df, value, {"__low": lower_middle, "__high": upper_middle}, group=group, **more
     )
     half = (F.col("__low") + F.col("__high")) / F.lit(2.0)
     return middle.withColumn(name, half).drop("__low", "__high")
@@ -131,8 +130,8 @@ def token_statistics(
         {"high": nearest_rank(q)},
         group=["text"],
         weight="rows",
-        sums={"rows": F.col("rows"), "tokens_sum": F.col("tokens") * F.col("rows")},
-    ).withColumn("avg", F.try_divide(F.col("tokens_sum").cast("double"), "rows"))
+        totals={"all_rows": F.col(ROWS), "all_tokens": F.col("tokens") * F.col(ROWS)},
+    ).withColumn("avg", F.try_divide(F.col("all_tokens").cast("double"), "all_rows"))
 
     def only(text: str, name: str) -> Column:
         return as_count(F.max(F.when(F.col("text") == text, F.col(name)))).alias(f"{name}_{text}")

@@ -22,20 +22,42 @@ def wide_votes(
     models: Sequence[str],
     *,
     category: str = "category",
-    order: str | None = None,
+    order: str,
+    classes: Sequence[str] | None = None,
 ) -> DataFrame:
     """One column per model: its first vote by ``order``, null where it has none.
 
     The models are named, so no job is spent on finding them, and one aggregate
-    replaces a join per model.
+    replaces a join per model. Where the ``classes`` are known, numbers stand
+    for them until after the shuffle. Numbers can be aggregated by hashing,
+    while text has to be sorted first. A class outside the list is an error.
     """
-    vote = F.min_by(category, order) if order else F.first(category, ignorenulls=True)
-    return df.groupBy(*key).pivot("model", list(models)).agg(vote)
+    vote, names = F.col(category), None
+    if classes is not None:
+        names = F.array(*[F.lit(name) for name in classes])
+        code = F.array_position(names, vote).cast("int")
+        unknown = F.raise_error(F.concat(F.lit("unknown class "), vote)).cast("int")
+        vote = F.when(code == 0, unknown).otherwise(code)
+    slim = df.select(*key, "model", vote.alias("__vote"), F.col(order).alias("__order"))
+
+    # One condition per model instead of pivot(), which would shuffle twice.
+    def first(model: str) -> Column:
+        mine = F.col("model") == model
+        return F.min_by(F.when(mine, F.col("__vote")), F.when(mine, F.col("__order"))).alias(model)
+
+    wide = slim.groupBy(*key).agg(*[first(model) for model in models])
+    if names is None:
+        return wide
+    return wide.select(
+        *key, *[F.get(names, F.col(f"`{m}`") - F.lit(1)).alias(m) for m in models]
+    )
 
 
-def join_votes(labels: DataFrame, votes: DataFrame, key: Sequence[str], models: Sequence[str], order: str) -> DataFrame:
+def join_votes(
+    labels: DataFrame, votes: DataFrame, key: Sequence[str], models: Sequence[str], **how
+) -> DataFrame:
     """Labelled messages with one vote column per model."""
-    return labels.join(wide_votes(votes, key, models, order=order), list(key), "left")
+    return labels.join(wide_votes(votes, key, models, **how), list(key), "left")
 
 
 def long_votes(wide: DataFrame, key: Sequence[str], models: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from tallymark.fixed import CLASSES, DISPLAY_NAMES
 #: Folder names of the models that vote; position in the list is the model number.
 MODEL_KEYS = ["granite3_1-dense-8b", "tulu3", "llama3_1", "falcon3_7b"]
 MODELS = [DISPLAY_NAMES[key] for key in MODEL_KEYS]
+#: Every class a derived vote can have.
+CLASS_NAMES = [f"c{i}" for i in range(11)] + ["N/A"]
 START = 1_704_067_200  # 2024-01-01 in seconds
 SENTINEL = -5_364_662_400  # 1800-01-01 in seconds
 

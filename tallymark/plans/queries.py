@@ -129,7 +129,7 @@ SELECT CAST(floor(avg(clean_tokens)) AS BIGINT) AS avg_clean, CAST(floor(avg(raw
 def token_stats(spark, sf_dir):
     messages = dv.messages(spark, sf_dir)
     raw = messages.withColumn("raw_tokens", tx.count_tokens("body"))
-    cleaned = messages.withColumn("clean_tokens", tx.count_tokens("body", is_cleaned=False))
+    cleaned = tx.with_clean_text(messages, "body", "clean").withColumn("clean_tokens", tx.count_tokens("clean"))
     counts = st.joined_token_counts(raw, cleaned, "raw_tokens", "clean_tokens")
     return st.token_statistics(counts, "raw_tokens", "clean_tokens")
 
@@ -138,7 +138,7 @@ def token_stats(spark, sf_dir):
     f"""SELECT page_id, {sq.clean_text("url || ' ' || html")} AS clean_text FROM pages"""
 )
 def clean_pages(spark, sf_dir):
-    return dv.marked_pages(spark, sf_dir).select("page_id", tx.clean_text("body").alias("clean_text"))
+    return tx.with_clean_text(dv.marked_pages(spark, sf_dir), "body", "clean_text").drop("body")
 
 
 _FALLBACK = "CASE WHEN page_id % 3 = 0 THEN '<p title=\"' || page_id || '\"></p>' ELSE html END"
@@ -153,7 +153,7 @@ def clean_fallback(spark, sf_dir):
     empty = F.concat(F.lit('<p title="'), F.col("page_id").cast("string"), F.lit('"></p>'))
     body = F.when(F.col("page_id") % 3 == 0, empty).otherwise(F.col("html"))
     pages = dv.table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
-    return pages.select("page_id", tx.clean_or_raw("body").alias("text"))
+    return tx.with_clean_text(pages, "body", "text", or_raw=True).drop("body")
 
 
 @query(
@@ -345,7 +345,7 @@ def integrate_predictions(spark, sf_dir):
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    return vt.wide_votes(dv.votes(spark, sf_dir), ["doc_id"], dv.MODELS, order="k")
+    return vt.wide_votes(dv.votes(spark, sf_dir), ["doc_id"], dv.MODELS, order="k", classes=dv.CLASS_NAMES)
 
 
 @query(
@@ -354,7 +354,8 @@ def _wide(spark, sf_dir) -> DataFrame:
     + " FROM truths LEFT JOIN wide USING (doc_id)"
 )
 def wide_votes(spark, sf_dir):
-    return vt.join_votes(dv.truth(spark, sf_dir), dv.votes(spark, sf_dir), ["doc_id"], dv.MODELS, "k")
+    truth, votes = dv.truth(spark, sf_dir), dv.votes(spark, sf_dir)
+    return vt.join_votes(truth, votes, ["doc_id"], dv.MODELS, order="k")
 
 
 @query(
