@@ -21,6 +21,11 @@ SPACE = r"\x09-\x0d\x1c-\x20\x85\p{Z}"
 BREAK = r"\x0a-\x0d\x1c-\x1e\x85\x{2028}\x{2029}"
 BLANK = r"\x09\x1f\x20\p{Zs}"
 
+# The characters of SPACE, for the trim functions.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680])) + "".join(
+    map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
 URL = rf"https?://[^{SPACE}]+"
 # Comments, scripts and styles in one left-to-right pass, so that a comment
 # mark inside a script (or the reverse) does not open anything.
@@ -39,9 +44,15 @@ def _text(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def _only_if(text: Column, mark: str, changed: Column) -> Column:
+    """Run patterns only on text that holds ``mark``: most plain text has none."""
+    return F.when(text.contains(mark), changed).otherwise(text)
+
+
 def remove_urls(column: str | Column) -> Column:
     """Delete web addresses; null becomes empty."""
-    return F.regexp_replace(F.coalesce(_text(column), F.lit("")), F.lit(URL), F.lit(""))
+    text = F.coalesce(_text(column), F.lit(""))
+    return _only_if(text, "http", F.regexp_replace(text, F.lit(URL), F.lit("")))
 
 
 def collapse_newlines(column: str | Column) -> Column:
@@ -54,21 +65,38 @@ def collapse_spaces(column: str | Column) -> Column:
 
 def trim_all(column: str | Column) -> Column:
     """Strip every kind of white space from both ends, not only spaces."""
-    return F.regexp_replace(_text(column), F.lit(rf"^[{SPACE}]+|[{SPACE}]+\z"), F.lit(""))
+    return F.btrim(_text(column), F.lit(SPACES))
 
 
 def trim_lines(column: str | Column) -> Column:
-    """Strip each line and drop one closing line break, then join the lines by spaces."""
-    text = F.regexp_replace(collapse_newlines(column), F.lit(rf"^[{BLANK}]+"), F.lit(""))
-    text = F.regexp_replace(text, F.lit(rf"(?:[{BLANK}]*[{BREAK}]|[{BLANK}]+)\z"), F.lit(""))
-    return collapse_spaces(text)
+    """Strip each line, drop one closing line break, then join the lines by spaces.
+
+    Inside the text that is the same as collapsing white space. Only the ends
+    differ: a line break before the first word leaves a space, and so does one
+    after the last word unless it closes the text.
+    """
+    text = _text(column)
+    inner = trim_all(text)
+    before = F.substring(text, F.lit(1), F.length(text) - F.length(F.ltrim(text, F.lit(SPACES))))
+    after = F.substring(
+        text, F.length(F.rtrim(text, F.lit(SPACES))) + F.lit(1), F.length(text)
+    )
+    opened = (F.length(inner) > 0) & before.rlike(rf"[{BREAK}]")
+    closed = collapse_newlines(after).rlike(rf"(?s)[{BREAK}].")
+    return F.concat(
+        F.when(opened, F.lit(" ")).otherwise(F.lit("")),
+        collapse_spaces(inner),
+        F.when(closed, F.lit(" ")).otherwise(F.lit("")),
+    )
 
 
 def strip_markup(column: str | Column) -> Column:
     """Remove comments, scripts, styles and tags; entities stay encoded."""
-    text = F.regexp_replace(F.coalesce(_text(column), F.lit("")), F.lit(HIDDEN), F.lit(""))
-    text = F.regexp_replace(text, F.lit(TAG), F.lit(""))
-    return F.regexp_replace(text, F.lit(BROKEN_TAG), F.lit(""))
+    text = F.coalesce(_text(column), F.lit(""))
+    bare = text
+    for pattern in (HIDDEN, TAG, BROKEN_TAG):
+        bare = F.regexp_replace(bare, F.lit(pattern), F.lit(""))
+    return _only_if(text, "<", bare)
 
 
 @F.pandas_udf(T.StringType())
@@ -90,7 +118,7 @@ def decode_entities(column: str | Column) -> Column:
     plain = text
     for reference, character in {**common, "&amp;": "&"}.items():
         plain = F.replace(plain, F.lit(reference), F.lit(character))
-    rare = F.when(rest.rlike("&[#A-Za-z]"), text)
+    rare = F.when(text.contains("&") & rest.rlike("&[#A-Za-z]"), text)
     return F.coalesce(_unescape(rare), plain)
 
 

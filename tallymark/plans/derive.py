@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.fixed import CLASSES, DISPLAY_NAMES
+from tallymark.sources.tables import spread
 
 #: Folder names of the models that vote; position in the list is the model number.
 MODEL_KEYS = ["granite3_1-dense-8b", "tulu3", "llama3_1", "falcon3_7b"]
@@ -31,7 +32,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as mail messages, one an hour; every fiftieth has no date."""
     doc = F.col("doc_id")
     seconds = F.when(doc % 50 == 0, F.lit(SENTINEL)).otherwise(F.lit(START) + doc * F.lit(3600))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         F.substring("text", 1, 20).alias("subject"),
         F.col("source").alias("from"),
@@ -139,6 +140,6 @@ def separable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose text starts with their own address."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         "page_id", F.concat(F.col("url"), F.lit(" "), F.col("html")).alias("body")
     )

@@ -235,7 +235,7 @@ def parse_raw_messages(spark, sf_dir):
     content = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(_PLAIN_HEAD), "text")).otherwise(
         F.concat(F.lit(_MIXED_HEAD), "text", F.lit(_MIXED_TAIL))
     )
-    raw = dv.table(spark, sf_dir, "conversations").select(
+    raw = tables.spread(dv.table(spark, sf_dir, "conversations"), "conv_id").select(
         "conv_id", "turn", F.encode(F.concat(subject, dated, content), "UTF-8").alias("content")
     )
     return mail.parse_messages(raw, keep=("conv_id", "turn")).select(

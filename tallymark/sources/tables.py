@@ -25,6 +25,16 @@ def scan(
     return df.select(*[f"`{name}`" for name in columns]) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key when a scan has fewer partitions than there are cores.
+
+    For work that is heavy per row (cleaning, parsing). A large table has more
+    partitions than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_model_tree(
     spark: SparkSession,
     root: str,
@@ -94,11 +104,10 @@ def write(
 def read_pipe_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A markdown pipe table. Columns are taken in order; the types come from ``schema``.
 
-    The heading is the line above the dashes. It is recognised by having a
-    dash line follow it, so lines may be read in any order.
+    The first line is the heading. The file is read as one text, as suits a
+    hand-written table of model parameters.
     """
-    lines = spark.read.option("wholetext", True).text(path)
-    return parse_pipe_table(lines, "value", schema)
+    return parse_pipe_table(spark.read.text(path, wholetext=True), "value", schema)
 
 
 def parse_pipe_table(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
