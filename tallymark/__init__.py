@@ -9,4 +9,12 @@ Everything is a plain function over ``DataFrame`` or ``Column``:
 * ``plans``     whole reports and the registered queries
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel whole, so executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
