@@ -34,8 +34,9 @@ HIDDEN = (
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
 )
-_QUOTED = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
-TAG = rf"<[/!?A-Za-z]{_QUOTED}>"
+# Possessive repeats (``*+``) keep the matcher from recursing or backtracking
+# over a stray ``<`` in front of a long text full of quotes.
+TAG = r"""<[/!?A-Za-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
 BROKEN_TAG = r"<[/!?A-Za-z][^>]*>"
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -90,13 +91,23 @@ def trim_lines(column: str | Column) -> Column:
     )
 
 
+def _without_hidden(text: Column) -> Column:
+    return _only_if(text, "<", F.regexp_replace(text, F.lit(HIDDEN), F.lit("")))
+
+
+def _without_tags(text: Column) -> Column:
+    # Behind the last > there are no tags. Leaving that part out keeps the
+    # patterns from running to the end of the text for every stray <.
+    tail = F.substring_index(text, ">", -1)
+    bare = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+    for pattern in (TAG, BROKEN_TAG):
+        bare = F.regexp_replace(bare, F.lit(pattern), F.lit(""))
+    return _only_if(text, "<", F.concat(bare, tail))
+
+
 def strip_markup(column: str | Column) -> Column:
     """Remove comments, scripts, styles and tags; entities stay encoded."""
-    text = F.coalesce(_text(column), F.lit(""))
-    bare = text
-    for pattern in (HIDDEN, TAG, BROKEN_TAG):
-        bare = F.regexp_replace(bare, F.lit(pattern), F.lit(""))
-    return _only_if(text, "<", bare)
+    return _without_tags(_without_hidden(F.coalesce(_text(column), F.lit(""))))
 
 
 @F.pandas_udf(T.StringType())
@@ -149,14 +160,15 @@ def with_clean_text(df: DataFrame, body: str, name: str, *, or_raw: bool = False
     needs their result in three places.
     """
     steps = (
-        df.withColumn("__bare", strip_markup(remove_urls(body)))
+        df.withColumn("__shown", _without_hidden(remove_urls(body)))
+        .withColumn("__bare", _without_tags(F.col("__shown")))
         .withColumn("__decoded", decode_entities("__bare"))
         .withColumn("__line", trim_lines("__decoded"))
     )
     if or_raw:
         steps = steps.withColumn("__line", trim_all("__line"))
         steps = steps.withColumn("__line", _or_raw(F.col("__line"), F.col(body)))
-    return steps.withColumn(name, F.col("__line")).drop("__bare", "__decoded", "__line")
+    return steps.withColumn(name, F.col("__line")).drop("__shown", "__bare", "__decoded", "__line")
 
 
 def count_tokens(column: str | Column, *, is_cleaned: bool = True) -> Column:

@@ -89,9 +89,12 @@ def write(
 ) -> None:
     """Zstandard parquet at a chosen level, optionally one folder per key.
 
-    Rows stay where they are. A key that holds much of the data is written by
-    many tasks, and a file never grows past ``maxRecordsPerFile``.
+    With keys, rows are first rebalanced by them: adaptive execution merges
+    small partitions and splits that of a hot key, so that the tasks neither
+    write one file per key each nor leave a key to a single task.
     """
+    if by:
+        df = df.hint("rebalance", *[F.col(name) for name in by])
     writer = (
         df.write.mode(mode)
         .option("compression", "zstd")

@@ -45,6 +45,12 @@ def test_clean_html(spark, html, wanted):
     assert run(spark, tx.clean_html("t"), [html]) == [wanted]
 
 
+def test_hostile_text_is_cleaned_quickly(spark):
+    quotes = "<a " + "l'x " * 100_001 + "> y"
+    stray = "<a<b " * 50_000
+    assert run(spark, tx.clean_html("t"), [quotes, stray, "<b " * 1000 + "> z <"]) == ["y", stray.strip(), "z <"]
+
+
 def test_step_by_step_cleaning_is_the_same(spark):
     values = ["<p>a &amp; &eacute;</p>", "<p></p>", "plain\n", None, " http://x <b>y</b>\n z"]
     df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
