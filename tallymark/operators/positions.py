@@ -81,7 +81,9 @@ def with_position(
     bucketed = df.withColumns(dict(zip(names, levels)))
     sizes = bucketed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("__size"))
     offsets = rows_before(sizes, group, names, "__size").drop("__size", "__all")
-    inside = F.row_number().over(Window.partitionBy(*group, *names).orderBy(*order))
+    # Buckets first: they tell rows apart sooner than a group does, so sorting
+    # and hashing are cheaper when one group is large.
+    inside = F.row_number().over(Window.partitionBy(*reversed(names), *group).orderBy(*order))
     numbered = bucketed.withColumn("__inside", inside)
     return (
         join_null_safe(numbered, offsets, [*group, *names])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.fixed import (
@@ -29,16 +29,44 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(order_hash(key, seed), F.col(key))
 
 
+def _near_the_front(slim: DataFrame, stratum: str, n: int, most: int = 1000) -> DataFrame:
+    """Rows whose order hash may be among the first ``n`` of their stratum.
+
+    Counts per (stratum, hash prefix) tell from which prefix on a row is too
+    late. One bound per stratum comes back as a map; with more than ``most``
+    strata there is no map and every row stays.
+    """
+    # Two digits: few enough buckets that every task combines its counts well.
+    prefixed = slim.withColumn("__prefix", hash_prefix(F.col("__hash"), 2))
+    sizes = prefixed.groupBy(stratum, "__prefix").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = (
+        Window.partitionBy(stratum).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    needed = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    last = (
+        needed.filter((F.col("__before") < n) & F.col(stratum).isNotNull())
+        .groupBy(stratum)
+        .agg(F.max("__prefix").alias("__last"))
+        .limit(most + 1)
+    )
+    entries = F.map_from_entries(F.collect_list(F.struct(stratum, "__last")))
+    bounds = last.agg(F.when(F.count(F.lit(1)) <= most, entries).alias("bounds")).scalar()
+    early = F.col("__prefix") <= F.try_element_at(bounds, F.col(stratum))
+    return prefixed.filter(F.coalesce(early, F.lit(True))).drop("__prefix")
+
+
 def stratified_sample(
     df: DataFrame, stratum: str, n: int, key: str, seed: int, *, rank: str | None = None
 ) -> DataFrame:
     """``min(n, size)`` rows of each stratum. ``key`` identifies a row.
 
+    Most rows are ruled out by counting, before anything is sorted or moved.
     Ranking moves keys only; wide columns are fetched by a semi join for the
     few rows chosen.
     """
     slim = df.select(stratum, key).withColumn("__hash", order_hash(key, seed))
-    chosen = top_n(slim, [stratum], [F.col("__hash"), F.col(key)], n, rank=rank).drop("__hash")
+    front = _near_the_front(slim, stratum, n)
+    chosen = top_n(front, [stratum], [F.col("__hash"), F.col(key)], n, rank=rank).drop("__hash")
     if set(df.columns) <= {stratum, key}:
         return chosen
     if rank is None:
