@@ -8,7 +8,7 @@ only runs inside a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,27 +69,41 @@ def with_position(
     levels: Sequence[Column],
     group: Sequence[str] = (),
     name: str = "position",
+    total: str | None = None,
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
+    few_buckets: bool = False,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group.
+    """Add the 0-based position of each row in its group, and its size as ``total``.
 
     Each level must be non-decreasing along ``order`` within the level above,
     and ``order`` must end in something unique. The last level should split
     ties evenly, e.g. a prefix of an order hash.
+
+    ``wanted`` takes (first position, position after the last, group size) of a
+    bucket and says whether its rows are needed. The others are dropped before
+    anything is sorted. The buckets kept are sent to all tasks: there are at
+    most as many as wanted positions. ``few_buckets`` says that the caller
+    bounds the number of buckets.
     """
     group = list(group)
     names = [f"__level{i}" for i in range(len(levels))]
     bucketed = df.withColumns(dict(zip(names, levels)))
     sizes = bucketed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("__size"))
-    offsets = rows_before(sizes, group, names, "__size").drop("__size", "__all")
+    offsets = rows_before(sizes, group, names, "__size")
+    if wanted is not None:
+        before, size = F.col("__before"), F.col("__size")
+        offsets = offsets.filter(wanted(before, before + size, F.col("__all")))
+    offsets = offsets.drop("__size")
+    if wanted is not None or few_buckets:
+        offsets = F.broadcast(offsets)
     # Buckets first: they tell rows apart sooner than a group does, so sorting
     # and hashing are cheaper when one group is large.
     inside = F.row_number().over(Window.partitionBy(*reversed(names), *group).orderBy(*order))
-    numbered = bucketed.withColumn("__inside", inside)
-    return (
-        join_null_safe(numbered, offsets, [*group, *names])
-        .withColumn(name, F.col("__before") + F.col("__inside") - F.lit(1))
-        .drop("__before", "__inside", *names)
-    )
+    out = join_null_safe(bucketed, offsets, [*group, *names]).withColumn("__inside", inside)
+    out = out.withColumn(name, F.col("__before") + F.col("__inside") - F.lit(1))
+    if total is not None:
+        out = out.withColumn(total, F.col("__all"))
+    return out.drop("__before", "__inside", "__all", *names)
 
 
 def with_random_position(
@@ -112,6 +126,7 @@ def with_random_position(
         levels=[hash_prefix(F.col("__hash"), digits)],
         group=group,
         name=name,
+        few_buckets=not group and digits <= 4,
     ).drop("__hash")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.fixed import (
@@ -104,8 +104,8 @@ def entropy_bands(
 
     Bands overlap when there are few rows, as slices of one sorted list do; a
     message then has one row per band. Entropy takes few values, so ties are
-    ordered by the seeded hash, and positions are found over (entropy, hash
-    prefix) buckets.
+    ordered by the seeded hash. Counts over (entropy, hash prefix) buckets tell
+    which few buckets the bands lie in; only their rows are sorted.
     """
     contested = wide.filter(~is_unanimous(models)).select(
         key,
@@ -113,21 +113,30 @@ def entropy_bands(
         order_hash(key, seed).alias("__hash"),
     )
     fall = F.round(-F.col("entropy") * F.lit(1e9)).cast("bigint")
+
+    def middle(size: Column) -> tuple[Column, Column]:
+        centre = F.floor(size / F.lit(2))
+        return F.greatest(centre - F.lit(half_middle), F.lit(0)), centre + F.lit(half_middle)
+
+    def in_a_band(first: Column, end: Column, size: Column) -> Column:
+        low, high = middle(size)
+        return (first < top) | (end > size - F.lit(bottom)) | ((first < high) & (end > low))
+
     placed = with_position(
         contested,
         order=[F.desc("entropy"), F.col("__hash"), F.col(key)],
         levels=[fall, hash_prefix(F.col("__hash"))],
         name="__position",
+        total="__size",
+        wanted=in_a_band,
     )
-    size = contested.agg(F.count(F.lit(1)).alias("n")).scalar()
-    middle = F.floor(size / F.lit(2))
-    at = F.col("__position")
-    low = F.greatest(middle - F.lit(half_middle), F.lit(0))
+    at, size = F.col("__position"), F.col("__size")
+    low, high = middle(size)
     bands = F.array_compact(
         F.array(
             F.when(at >= size - F.lit(bottom), F.lit("low")),
             F.when(at < F.lit(top), F.lit("high")),
-            F.when((at >= low) & (at < middle + F.lit(half_middle)), F.lit("middle")),
+            F.when((at >= low) & (at < high), F.lit("middle")),
         )
     )
     return placed.select(key, "entropy", F.explode(bands).alias("band"))
