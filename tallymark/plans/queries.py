@@ -32,7 +32,7 @@ from tallymark.plans import derive as dv
 from tallymark.plans import oracle as sq
 from tallymark.plans import reports as rp
 from tallymark.schemas import MODEL_PARAMS, NATURAL_KEY
-from tallymark.session import new_folder
+from tallymark.session import cut_lineage, new_folder
 from tallymark.sources import mail, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -850,7 +850,8 @@ _SAMPLE = f"""sample AS (SELECT vec_id, v, label FROM (SELECT *, row_number() OV
 
 def _neighbour_vote(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     points = dv.separable(spark, sf_dir)
-    train = sm.stratified_sample(points, "label", 20, "vec_id", 3)
+    # Used three times, and small: kept instead of drawn again.
+    train = cut_lineage(sm.stratified_sample(points, "label", 20, "vec_id", 3))
     rest = points.join(train.select("vec_id"), "vec_id", "left_anti")
     found = nn.classify(rest, train, label="label", key="vec_id", vector="embedding", k=15, metric=metric)
     return found.select("vec_id", F.col("label").alias("truth"), "prediction")
@@ -951,7 +952,7 @@ def compare_embeddings(spark, sf_dir):
 def predict_rest(spark, sf_dir):
     """Fit on a diverse sample, predict all other rows with their certainty."""
     points = dv.separable(spark, sf_dir)
-    sample = kc.kcentre_sample(points, group="label", key="vec_id", vector="embedding", n=30)
+    sample = cut_lineage(kc.kcentre_sample(points, group="label", key="vec_id", vector="embedding", n=30))
     rest = points.join(sample.select("vec_id"), "vec_id", "left_anti")
     found = gr.fit_and_predict(
         sample, rest, ("lr", {"C": 0.9, "penalty": "l2"}, 25), key="vec_id", vector="embedding", label="label"
