@@ -84,9 +84,26 @@ def any_equals(columns: Sequence[str], value: str) -> Column:
     return reduce(lambda left, right: left | right, tests)
 
 
+def _record(column: str | Column) -> Column:
+    schema = ", ".join(f"{name} variant" for name in REPLY.fieldNames())
+    return F.from_json(_text(column), schema, {"mode": "PERMISSIVE"})
+
+
+def _texts(record: Column) -> Column:
+    def text(name: str) -> Column:
+        found = F.try_variant_get(record[name], "$", "string")
+        return F.when(F.schema_of_variant(record[name]) == "STRING", found).alias(name)
+
+    return F.struct(*[text(name) for name in REPLY.fieldNames()])
+
+
 def parse_reply(column: str | Column) -> Column:
-    """JSON reply as a struct; text that is not such a record gives null fields."""
-    return F.from_json(_text(column), REPLY, {"mode": "PERMISSIVE"})
+    """JSON reply as a struct of texts.
+
+    Fields that are missing or hold anything but a JSON string are null, and so
+    are all fields of text that is no JSON record.
+    """
+    return _texts(_record(column))
 
 
 def reply_is_valid(reply: Column, classes: Sequence[str] = CLASSES) -> Column:
@@ -99,16 +116,29 @@ def reply_is_valid(reply: Column, classes: Sequence[str] = CLASSES) -> Column:
     )
 
 
-def reply_columns(column: str | Column, classes: Sequence[str] = CLASSES) -> dict[str, Column]:
-    """The three text columns of a prediction; a bad reply fails all of them."""
-    reply = parse_reply(column)
-    valid = reply_is_valid(reply, classes)
+def with_reply(
+    df: DataFrame, column: str, classes: Sequence[str] = CLASSES, valid: str | None = None
+) -> DataFrame:
+    """Add the three text columns of a prediction; a bad reply fails all of them.
 
-    def pick(field: str) -> Column:
-        return F.when(valid, reply[field]).otherwise(F.lit(FAILED))
+    Step by step, so that each reply is parsed once. ``valid`` names a flag column.
+    """
+    parsed = (
+        df.withColumn("__record", _record(column))
+        .withColumn("__reply", _texts(F.col("__record")))
+        .withColumn("__valid", reply_is_valid(F.col("__reply"), classes))
+    )
 
-    return {
-        "primary_category": pick("class_label"),
-        "subject_suggestion": pick("subject_suggestion"),
-        "alternative_category": pick("alternative_label"),
-    }
+    def pick(field: str) -> Column:
+        return F.when(F.col("__valid"), F.col(f"__reply.{field}")).otherwise(F.lit(FAILED))
+
+    out = parsed.withColumns(
+        {
+            "primary_category": pick("class_label"),
+            "subject_suggestion": pick("subject_suggestion"),
+            "alternative_category": pick("alternative_label"),
+        }
+    )
+    if valid is not None:
+        out = out.withColumn(valid, F.col("__valid"))
+    return out.drop("__record", "__reply", "__valid")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.fixed import CLASSES, RESAMPLE_TEMPERATURE, RESAMPLES
-from tallymark.functions.labels import reply_columns
+from tallymark.functions.labels import with_reply
 from tallymark.functions.text import DEFAULT_PROMPT, render_prompt, with_clean_text
 from tallymark.operators.joins import pending_work, work_list
 from tallymark.operators.sampling import stratified_sample
@@ -84,7 +84,7 @@ def classify_prompts(
     )
     spread = work.repartition(tasks, F.xxhash64(*[c for c in work.columns if c != "prompt"], "prompt"))
     asked = ask(spread, make_predictor, temperature=temperature)
-    return asked.withColumns(reply_columns("reply", classes)).drop("reply")
+    return with_reply(asked, "reply", classes).drop("reply")
 
 
 def classify_messages(

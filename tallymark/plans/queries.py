@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tallymark import fixed
 from tallymark.functions import labels as lb
-from tallymark.functions import numbers as nm
 from tallymark.functions import text as tx
 from tallymark.learning import classifiers as cf
 from tallymark.learning import diverse as kc
@@ -308,11 +307,7 @@ SELECT doc_id, valid, CASE WHEN valid THEN class_label ELSE 'N/A' END AS primary
   CASE WHEN valid THEN alternative_label ELSE 'N/A' END AS alternative_category FROM checked"""
 )
 def reply_validation(spark, sf_dir):
-    replies = dv.replies(spark, sf_dir)
-    valid = lb.reply_is_valid(lb.parse_reply("reply"))
-    return replies.select(
-        "doc_id", valid.alias("valid"), *[c.alias(name) for name, c in lb.reply_columns("reply").items()]
-    )
+    return lb.with_reply(dv.replies(spark, sf_dir), "reply", valid="valid").drop("reply")
 
 
 @query(
@@ -320,9 +315,8 @@ def reply_validation(spark, sf_dir):
   count(*) AS messages FROM checked WHERE valid GROUP BY ALL"""
 )
 def kept_classes(spark, sf_dir):
-    reply = lb.parse_reply("reply")
-    valid = dv.replies(spark, sf_dir).filter(lb.reply_is_valid(reply))
-    return valid.groupBy(lb.is_kept_class(reply["class_label"]).alias("kept")).agg(
+    valid = lb.with_reply(dv.replies(spark, sf_dir), "reply", valid="valid").filter("valid")
+    return valid.groupBy(lb.is_kept_class("primary_category").alias("kept")).agg(
         F.count(F.lit(1)).alias("messages")
     )
 

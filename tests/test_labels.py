@@ -61,12 +61,14 @@ def test_reply_validation(spark):
     bad = [
         reply(class_label="Promotional emails"), reply(alternative_label="a b c d"), reply(alternative_label="A"),
         reply(subject_suggestion="two words"), reply(subject_suggestion=...), reply(subject_suggestion=None),
-        reply(subject_suggestion="note\n"), "no json", "[]", "", None,
+        reply(subject_suggestion="note\n"), reply(alternative_label=True), reply(subject_suggestion=["note"]), "no json", "[]", "", None,
     ]
     assert run(spark, lb.reply_is_valid(lb.parse_reply("t")), good + bad) == [True] * 3 + [False] * len(bad)
-    columns = lb.reply_columns("t")
-    assert run(spark, columns["primary_category"], [good[0], bad[1]]) == [fixed.CLASSES[8], "N/A"]
-    assert run(spark, columns["alternative_category"], [good[0], bad[0]]) == ["two words", "N/A"]
+    df = spark.createDataFrame(list(enumerate([good[0], bad[0], bad[1]])), "i int, t string")
+    rows = lb.with_reply(df, "t", valid="ok").orderBy("i").collect()
+    assert [(r.ok, r.primary_category, r.alternative_category) for r in rows] == [
+        (True, fixed.CLASSES[8], "two words"), (False, "N/A", "N/A"), (False, "N/A", "N/A"),
+    ]
 
 
 def test_kept_classes(spark):
