@@ -25,7 +25,7 @@ from tallymark.llm.tables import map_rows, slices, worker_state
 
 #: Fixed values of the vocabulary file: its word pattern, with white space spelled out, and
 #: the white space that its normaliser collapses.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 WORD_END = "</w>"
@@ -141,7 +141,7 @@ def normalise(text: str) -> str:
     if text.isascii():
         return text.lower()
     # A sigma at the end of a word becomes the same letter as any other.
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
 
 _wide, _ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe
+from tallymark.llm import bpe, repetition, secrets
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,15 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the word-end vocabulary, decoded again, both as digests."""
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base verdict and final verdict of every document."""
+    return repetition.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of likely secrets in every document."""
+    return secrets.scan_documents(read(spark, sf_dir, "documents"))
