@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, repetition, secrets
+from tallymark.llm import bpe, mixing, repetition, secrets
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,13 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of a corpus-sized mix half way between the sources' own shares and equal ones."""
+    drawn = mixing.draw(read(spark, sf_dir, "documents"))
+    return drawn.select("row.doc_id", "row.source", *(c for c in drawn.columns if c != "row"))
+
+
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of likely secrets in every document."""
