@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, mixing, repetition, secrets
+from tallymark.llm import bpe, mixing, repetition, secrets, shingle_join
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 4-word shingle sets at 85 percent."""
+    return shingle_join.link_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws of a corpus-sized mix half way between the sources' own shares and equal ones."""
