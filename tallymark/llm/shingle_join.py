@@ -387,3 +387,23 @@ def link_documents(df: DataFrame, join: Join | None = None, id_column: str = "do
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = named.join(least, "component").select("node", "component_id")
     return rows.join(member, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, join: Join | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` with one document of each component: the one of the smallest id, columns as they were.
+
+    Rows of one id are one document; of repeated ones the row with the smallest text hash
+    stays. Documents without words are not alike and stay, as do rows without an id.
+    """
+    found = link_documents(df, join, id_column, text_column)
+    folder = new_folder(df.sparkSession, "components")
+    found.write.parquet(folder)
+    found = df.sparkSession.read.schema(found.schema).parquet(folder)
+    kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
+    repeated = not kept.filter("count > 1").isEmpty()
+    rows = df.join(kept.select(F.col("doc_id").alias(id_column)), id_column, "left_semi").select(*df.columns)
+    if repeated:
+        row = F.struct(*[F.col(c) for c in df.columns])
+        first = F.min_by(row, F.xxhash64(text_column))
+        rows = rows.groupBy(F.col(id_column).alias("kept_id")).agg(first.alias("kept_row")).select("kept_row.*")
+    return rows.unionByName(df.filter(F.col(id_column).isNull()))
