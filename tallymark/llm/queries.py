@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, mixing, repetition, secrets, shingle_join
+from tallymark.llm import bpe, mixing, repetition, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by a model of the labelled ones that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and final verdict of every document."""
@@ -48,3 +55,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of likely secrets in every document."""
     return secrets.scan_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for every 20th one."""
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
+# Rows of floor(64 x), each with its sum of products by query; the rank is cut at 20.
+ORACLE["op8_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
