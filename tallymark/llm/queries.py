@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, mixing, repetition, secrets, shingle_join, topk, toxicity
+from tallymark.llm import bpe, labelled_pages, mixing, page_text, repetition, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("row.doc_id", "row.source", *(c for c in drawn.columns if c != "row"))
 
 
+@query
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by a model trained on the labelled layouts."""
+    return page_text.extract(read(spark, sf_dir, "pages"), page_text.train(labelled_pages.labelled(spark)))
+
+
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of likely secrets in every document."""
