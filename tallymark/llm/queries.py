@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, labelled_pages, mixing, page_text, repetition, secrets, shingle_join, topk, toxicity
+from tallymark.llm import bpe, labelled_pages, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,68 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
 ) WHERE rank <= 20
 """
+
+
+@query
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records of all pages, revisits resolved; headers in one line, payloads as digests."""
+    found = revisits.resolve(revisits.records_of_pages(read(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.select(
+        "record_id",
+        "canonical_url",
+        "resolution",
+        "response_id",
+        F.array_join(pairs, "; ").alias("headers"),
+        F.md5("payload").alias("payload_md5"),
+        F.length("payload").cast("long").alias("payload_chars"),
+    )
+
+
+# The records again, then an as-of join; the rules on validators and headers case by case.
+ORACLE["op10_revisits"] = r"""
+WITH p AS (
+    SELECT page_id AS n, url, html, md5(coalesce(html, '')) AS tag, 1704067200 + page_id * 60 AS seen_at,
+           regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=rss' AS noted
+    FROM pages WHERE page_id IS NOT NULL
+), r AS (
+    SELECT n * 4 AS record_id, url, seen_at, false AS revisit, '"' || tag || '"' AS etag, 'day ' || n AS modified, html AS payload FROM p
+    UNION ALL
+    SELECT n * 4 + 1, url || '#again', seen_at + 3600 * (n % 5 + 1), true, CASE WHEN n % 7 = 3 THEN '"stale"' ELSE 'W/"' || tag || '"' END, NULL, NULL FROM p
+    UNION ALL
+    SELECT n * 4 + 2, noted, seen_at + 86400, true, NULL, CASE WHEN n % 3 <> 1 THEN 'day ' || n END, NULL FROM p
+    UNION ALL
+    SELECT n * 4 + 3, url, seen_at - 3600, true, CASE WHEN n % 7 = 3 THEN '"stale"' ELSE 'W/"' || tag || '"' END, NULL, NULL FROM p WHERE n % 4 = 0
+), bare AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM r
+), parts AS (
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^.*@', ''), '^www\.', ''), ':(80|443)$', '') AS host,
+           regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|fbclid|gclid|msclkid)(=|$)'))) AS args
+    FROM bare
+), c AS (
+    SELECT *, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS site FROM parts
+), latest AS (
+    SELECT v.record_id, arg_max(f.record_id, (f.seen_at, f.record_id)) AS response_id
+    FROM c v JOIN c f ON v.site = f.site AND v.revisit AND NOT f.revisit AND f.seen_at <= v.seen_at
+    GROUP BY v.record_id
+), joined AS (
+    SELECT c.*, l.response_id AS found, f.etag AS f_etag, f.modified AS f_modified, f.payload AS f_payload
+    FROM c LEFT JOIN latest l USING (record_id) LEFT JOIN c f ON f.record_id = l.response_id
+), decided AS (
+    SELECT *, CASE WHEN NOT revisit THEN 'full' WHEN found IS NULL THEN 'missing'
+        WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f_etag THEN 'etag' ELSE 'mismatch' END
+        WHEN modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'last-modified' ELSE 'mismatch' END
+        ELSE 'unproven' END AS resolution
+    FROM joined
+)
+SELECT record_id, site AS canonical_url, resolution, CASE WHEN revisit THEN found ELSE record_id END AS response_id,
+    CASE WHEN NOT revisit THEN 'cache-control: max-age=60; content-type: text/html; etag: ' || etag || '; last-modified: ' || modified
+         WHEN resolution = 'etag' THEN 'cache-control: max-age=600; content-type: text/html; etag: ' || etag || '; last-modified: ' || f_modified
+         WHEN resolution = 'last-modified' THEN 'cache-control: max-age=60; content-type: text/html; etag: ' || f_etag || '; expires: never; last-modified: ' || modified
+         WHEN record_id % 4 = 2 THEN 'expires: never' || coalesce('; last-modified: ' || modified, '')
+         ELSE 'cache-control: max-age=600; content-length: 0; etag: ' || etag END AS headers,
+    md5(CASE WHEN resolution IN ('etag', 'last-modified') THEN f_payload ELSE payload END) AS payload_md5,
+    CAST(length(CASE WHEN resolution IN ('etag', 'last-modified') THEN f_payload ELSE payload END) AS BIGINT) AS payload_chars
+FROM decided
+"""
