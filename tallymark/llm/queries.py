@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, labelled_pages, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
+from tallymark.llm import bpe, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,37 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses named in every document."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+# Shingles equal to one of a template, counted by the windows they lie in; nothing is hashed.
+ORACLE["op9_licenses"] = """
+WITH t AS (
+    SELECT * FROM (VALUES %s) AS x(template, license, text)
+), tw AS (
+    SELECT template, license, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM t
+), ts AS (
+    SELECT DISTINCT template, license, array_to_string(w[i : i + 4], ' ') AS shingle FROM tw, UNNEST(range(1, len(w) - 3)) AS u(i)
+), tm AS (
+    SELECT *, count(*) OVER (PARTITION BY template) AS m FROM ts
+), dw AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents
+), ds AS (
+    SELECT doc_id, i - 1 AS at_word, array_to_string(w[i : i + 4], ' ') AS shingle FROM dw, UNNEST(range(1, len(w) - 3)) AS u(i)
+), hit AS (
+    SELECT doc_id, template, license, m, shingle, UNNEST([at_word // m, at_word // m - 1]) * m AS start FROM ds JOIN tm USING (shingle)
+), held AS (
+    SELECT doc_id, template, license, start, count(DISTINCT shingle) / m AS containment
+    FROM hit WHERE start >= 0 GROUP BY doc_id, template, license, start, m
+)
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(start, (-containment, start)) AS BIGINT) AS first_word
+FROM held WHERE containment >= 0.8 GROUP BY doc_id, license
+""" % ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+
 @query
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive records of all pages, revisits resolved; headers in one line, payloads as digests."""
