@@ -17,6 +17,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Rows that go to Python at a time: texts are long, and batches of them stay in memory on both sides.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str | Column],
@@ -33,6 +44,7 @@ def map_rows(
         for batch in batches:
             yield from function(batch)
 
+    bound_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

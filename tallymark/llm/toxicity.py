@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.counters import SCHEMA, add_up, pack
-from tallymark.llm.tables import map_rows, slices
+from tallymark.llm.tables import bound_batches, map_rows, slices
 from tallymark.session import new_folder
 
 #: Widths of the runs of bytes that are units beside the word itself; its two ends count as bytes.
@@ -216,6 +216,7 @@ def _count_units(docs: DataFrame, learners: dict[int, bool], settings: Settings,
         empty()
         yield pack(counters.reshape(-1))
 
+    bound_batches(docs.sparkSession)
     packed = docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(run, SCHEMA)
     return add_up(packed, 3 * size).reshape(3, size)
 
