@@ -25,8 +25,9 @@ ENDS = {
 #: Where the search for an open paragraph stops.
 WALLS = frozenset("table td th button body html object caption".split())
 
+# Attributes with their quotes closed, else up to the next ">"; nothing is tried twice.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]{0,20000}+"|'[^']{0,20000}+'|["'])*?)>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>|([^>]*+)>)""", re.S
 )
 _MARKS = re.compile(r"""(?<![\w-])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -79,10 +80,12 @@ def parse(source: str | None) -> Page:
 
     at = 0
     lower = None
+    final = source.rfind(">")
     while True:
-        found = _TAG.search(source, at)
+        # Without another ">" only a comment can follow, and it would run to the end.
+        found = _TAG.search(source, at) if at <= final else None
         if found is None:
-            put(source[at:])
+            put(source[at:].split("<!--")[0])
             break
         put(source[at : found.start()])
         at = found.end()
@@ -99,7 +102,7 @@ def parse(source: str | None) -> Page:
             elif name in ("p", "br"):
                 page.flow.append(-1)
             continue
-        attributes = found[3]
+        attributes = found[3] if found[3] is not None else found[4]
         if name not in INLINE:
             page.flow.append(-1)
             if open_tags.get("p"):
