@@ -92,15 +92,6 @@ DISPLAY_NAMES = {
     "gemma3-27b": "Gemma-3-27b",
 }
 
-# --- Fixed values: classifier and embedding display names --------------------
-CLASSIFIER_NAMES = {
-    "rf": "Random forest",
-    "svc": "Support vector machine",
-    "gnb": "Gaussian Naive Bayes",
-    "lr": "Logistic regression",
-    "knn": "K-nearest neighbors",
-}
-
 # --- Fixed values: parameter grid of the classifiers -------------------------
 GRID = {
     "svc": {"C": [0.01, 0.1, 0.9]},

@@ -79,6 +79,10 @@ def kcentre_sample(
     exact position is found by counting, and only the picks, ``n`` per class,
     reach the driver. Both ways give the same rows.
     """
+    # A class by its text, a null class too: that is one like any other.
+    named = F.when(F.col(group).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
+    whole_frame, df = df, df.select(named.alias("__group"), key, vector)
+    group = "__group"
     sizes = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("width")
     )
@@ -105,7 +109,7 @@ def kcentre_sample(
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
-    return df.join(chosen, key, "left_semi")
+    return whole_frame.join(chosen, key, "left_semi")
 
 
 def _pick_by_jobs(slim: DataFrame, group, key, vector, n, sizes: dict, stride: int) -> list:

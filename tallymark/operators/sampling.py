@@ -29,12 +29,12 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(order_hash(key, seed), F.col(key))
 
 
-def _near_the_front(slim: DataFrame, stratum: str, n: int, most: int = 1000) -> DataFrame:
+def _near_the_front(slim: DataFrame, stratum: str, n: int) -> DataFrame:
     """Rows whose order hash may be among the first ``n`` of their stratum.
 
     Counts per (stratum, hash prefix) tell from which prefix on a row is too
-    late. One bound per stratum comes back as a map; with more than ``most``
-    strata there is no map and every row stays.
+    late. The bounds, one per stratum, are joined back: Spark broadcasts them
+    while they are few. Rows without a stratum have no bound.
     """
     # Two digits: few enough buckets that every task combines its counts well.
     prefixed = slim.withColumn("__prefix", hash_prefix(F.col("__hash"), 2))
@@ -47,12 +47,9 @@ def _near_the_front(slim: DataFrame, stratum: str, n: int, most: int = 1000) ->
         needed.filter((F.col("__before") < n) & F.col(stratum).isNotNull())
         .groupBy(stratum)
         .agg(F.max("__prefix").alias("__last"))
-        .limit(most + 1)
     )
-    entries = F.map_from_entries(F.collect_list(F.struct(stratum, "__last")))
-    bounds = last.agg(F.when(F.count(F.lit(1)) <= most, entries).alias("bounds")).scalar()
-    early = F.col("__prefix") <= F.try_element_at(bounds, F.col(stratum))
-    return prefixed.filter(F.coalesce(early, F.lit(True))).drop("__prefix")
+    early = F.col("__last").isNull() | (F.col("__prefix") <= F.col("__last"))
+    return prefixed.join(last, stratum, "left").filter(early).select(*slim.columns)
 
 
 def stratified_sample(

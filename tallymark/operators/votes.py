@@ -6,9 +6,10 @@ per message and one column per model.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,68 +130,73 @@ def class_shares(counts: DataFrame) -> DataFrame:
 def pairwise_agreement(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     """Symmetric matrix, as rows, of how often two models agree; 1 on the diagonal.
 
-    All pairs are averaged in a single pass over the wide frame. No message is
-    joined with itself, and ``avg`` skips rows in which either vote is null.
+    Each task codes its votes as numbers, compares all pairs of columns at once and
+    hands on one small table of counts, so the plan doesn't grow with the number of
+    models and no message is joined with itself. Rows in which either vote is null
+    don't count for a pair.
     """
-    pairs = list(combinations(models, 2))
-    if pairs:
-        rates = wide.agg(
-            *[
-                F.avg((F.col(f"`{a}`") == F.col(f"`{b}`")).cast("double")).alias(f"p{i}")
-                for i, (a, b) in enumerate(pairs)
-            ]
-        )
-    else:
-        rates = wide.agg(F.count(F.lit(1)).alias("n"))
-
-    def cell(a: str, b: str, rate: Column) -> Column:
-        return F.struct(
-            F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), rate.alias("agreement")
-        )
-
-    cells = [cell(m, m, F.lit(1.0)) for m in models]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"p{i}")), cell(b, a, F.col(f"p{i}"))]
-    return rates.select(F.inline(F.array(*cells))).withColumn(
-        "overlap_distance", F.lit(1.0) - F.col("agreement")
+    models = list(models)
+    width = len(models)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits, both = np.zeros((width, width), np.int64), np.zeros((width, width), np.int64)
+        for batch in batches:
+            codes = pd.factorize(batch.to_numpy(object).ravel())[0].reshape(len(batch), width)
+            known = codes >= 0
+            both += known.T.astype(np.int64) @ known.astype(np.int64)
+            for i in range(width):
+                hits[i] += ((codes == codes[:, [i]]) & known[:, [i]]).sum(axis=0)
+        i, j = np.triu_indices(width, 1)
+        yield pd.DataFrame({"i": i, "j": j, "hits": hits[i, j], "both": both[i, j]})
+
+    votes = wide.select(*[F.col(f"`{m}`").cast("string").alias(f"v{i}") for i, m in enumerate(models)])
+    partial = votes.mapInPandas(count, "i long, j long, hits long, both long")
+    rates = partial.groupBy("i", "j").agg(F.try_divide(F.sum("hits").cast("double"), F.sum("both").cast("double")).alias("rate"))
+    cells = wide.sparkSession.range(width * width, numPartitions=1).select(
+        F.floor(F.col("id") / width).alias("a"), (F.col("id") % width).alias("b")
     )
+    cells = cells.withColumns({"i": F.least("a", "b"), "j": F.greatest("a", "b")}).join(rates, ["i", "j"], "left")
+    names = F.array(*[F.lit(m) for m in models])
+    agreement = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("rate"))
+    return cells.select(
+        F.get(names, F.col("a").cast("int")).alias("model_a"),
+        F.get(names, F.col("b").cast("int")).alias("model_b"),
+        agreement.alias("agreement"),
+    ).withColumn("overlap_distance", F.lit(1.0) - F.col("agreement"))
 
 
 def js_distance(matrix: DataFrame, models: Sequence[str]) -> DataFrame:
     """Jensen-Shannon distance between the class distributions of two models.
 
     Takes the (classes x models) count matrix, whose size does not depend on
-    the number of messages, and sums all pairs in a single pass over it.
+    the number of messages, makes it long (class, model, share) and joins it
+    with itself by class: a row per class and pair, whatever the number of models.
     """
-    whole = Window.partitionBy(F.lit(0))
-    shares = matrix.select(
-        *[
-            F.try_divide(F.col(f"`{m}`").cast("double"), F.sum(f"`{m}`").over(whole)).alias(f"s{i}")
-            for i, m in enumerate(models)
-        ]
+    models = list(models)
+    votes = F.array(*[F.col(f"`{m}`").cast("double") for m in models])
+    whole = Window.partitionBy("model")
+    long = (
+        matrix.select("category", F.posexplode(votes).alias("model", "votes"))
+        .withColumn("share", F.try_divide(F.col("votes"), F.sum("votes").over(whole)))
+        .select("category", "model", "share")
     )
+    other = long.select(F.col("category").alias("category_b"), F.col("model").alias("model_j"), F.col("share").alias("q"))
 
     def term(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.ln(F.lit(2.0) * p / (p + q))).otherwise(F.lit(0.0))
 
-    pairs = list(combinations(range(len(models)), 2))
-    sums = shares.agg(
-        *[
-            F.sum(term(F.col(f"s{i}"), F.col(f"s{j}")) + term(F.col(f"s{j}"), F.col(f"s{i}"))).alias(
-                f"p{i}_{j}"
-            )
-            for i, j in pairs
-        ]
+    p, q = F.col("share"), F.col("q")
+    sums = (
+        long.join(other, F.col("category").eqNullSafe(F.col("category_b")) & (F.col("model") < F.col("model_j")))
+        .groupBy("model", "model_j")
+        .agg(F.sum(term(p, q) + term(q, p)).alias("total"))
+    )
+    names = F.array(*[F.lit(m) for m in models])
+    return sums.select(
+        F.get(names, "model").alias("model_a"),
+        F.get(names, "model_j").alias("model_b"),
+        F.sqrt(F.greatest(F.col("total") / F.lit(2.0), F.lit(0.0))).alias("distance"),
     )
-    cells = [
-        F.struct(
-            F.lit(models[i]).alias("model_a"),
-            F.lit(models[j]).alias("model_b"),
-            F.sqrt(F.greatest(F.col(f"p{i}_{j}") / F.lit(2.0), F.lit(0.0))).alias("distance"),
-        )
-        for i, j in pairs
-    ]
-    return sums.select(F.inline(F.array(*cells)))
 
 
 def row_entropy(models: Sequence[str]) -> Column:

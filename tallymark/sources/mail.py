@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from dataclasses import dataclass
 from email import message_from_bytes
+from email.errors import HeaderParseError
 from email.header import decode_header
 from email.message import Message
 from email.utils import parsedate_to_datetime
@@ -16,78 +18,98 @@ from pyspark.sql import types as T
 from tallymark.fixed import MISSING_DATE
 from tallymark.schemas import MESSAGE
 
-_READABLE = ("text/plain", "text/html")
 _MISSING = dt.datetime.fromisoformat(f"{MISSING_DATE}T00:00:00+00:00")
 
 
-def _as_text(raw) -> str:
-    """UTF-8 where valid, else Latin-1, which accepts any byte."""
-    if raw is None:
-        return ""
-    if not isinstance(raw, bytes):
-        return str(raw)
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
+def decode_bytes(raw: bytes, declared: str | None = None) -> str:
+    """UTF-8 where valid, else the declared charset, else Latin-1, which accepts any byte."""
+    for charset in ("utf-8", declared, "latin-1"):
+        try:
+            if charset:
+                return raw.decode(charset)
+        except (LookupError, UnicodeError):
+            continue
+    return ""
+
 
+def decode_header_text(value: object, first_chunk: bool = False) -> str:
+    """A header with all its encoded words decoded, or as it stands if they are malformed.
 
-def _header(message: Message, name: str) -> str:
-    value = message.get(name)
-    return _as_text(decode_header(value)[0][0]) if value is not None else ""
+    ``first_chunk`` keeps what comes before the first change of encoding only.
+    """
+    text = "" if value is None else str(value)
+    try:
+        chunks = decode_header(text)
+    except (HeaderParseError, ValueError):
+        return text
+    words = [decode_bytes(c, charset) if isinstance(c, bytes) else c for c, charset in chunks]
+    return words[0] if first_chunk else "".join(words)
 
 
-def _when(text: str) -> dt.datetime:
+def parse_date(text: str) -> dt.datetime:
+    """The moment a date header names, in UTC; the sentinel if it names none that exists."""
     try:
         moment = parsedate_to_datetime(text)
-    except (TypeError, ValueError):
+        return (moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)).astimezone(dt.timezone.utc)
+    except (TypeError, ValueError, OverflowError, IndexError):
         return _MISSING
-    if moment.tzinfo is None:
-        moment = moment.replace(tzinfo=dt.timezone.utc)
-    return moment.astimezone(dt.timezone.utc)
-
-
-def _body(message: Message) -> str:
-    for part in message.walk() if message.is_multipart() else ():
-        attached = "attachment" in str(part.get("Content-Disposition"))
-        if part.get_content_type() in _READABLE and not attached:
-            return _as_text(part.get_payload(decode=True))
-    return _as_text(message.get_payload(decode=True))
-
-
-def _named_attachments(message: Message) -> int:
-    return sum(
-        1
-        for part in message.walk()
-        if part.get_content_maintype() != "multipart"
-        and part.get("Content-Disposition") is not None
-        and part.get_filename()
-    )
 
 
-def _fields(raw: bytes) -> dict:
+@dataclass
+class _Contents:
+    """What one walk over the parts of a message finds."""
+
+    body: str | None = None
+    attachments: int = 0
+
+
+def _contents(message: Message) -> _Contents:
+    found = _Contents()
+    for part in message.walk():
+        if part.get_content_maintype() == "multipart":
+            continue
+        placed = part.get_content_disposition()
+        if placed is not None and part.get_filename():
+            found.attachments += 1
+        readable = part is message or (part.get_content_type() in ("text/plain", "text/html") and placed != "attachment")
+        if found.body is None and readable:
+            content = part.get_payload(decode=True)
+            found.body = decode_bytes(content or b"", part.get_content_charset())
+    return found
+
+
+def read_message(raw: bytes | None, first_chunk: bool = False) -> dict:
+    """The fields of one message. None of them can fail: what can't be read is empty or the sentinel."""
+    raw = b"" if raw is None else bytes(raw)
     message = message_from_bytes(raw)
     date_text = str(message.get("Date", ""))
+    try:
+        found = _contents(message)
+    except (LookupError, ValueError, TypeError, AttributeError, HeaderParseError):
+        # Part headers beyond repair: everything after the head is the body.
+        found = _Contents(decode_bytes(raw.partition(b"\n\n")[2]))
     return {
-        "subject": _header(message, "Subject"),
-        "from": _header(message, "From"),
-        "date": _when(date_text),
+        "subject": decode_header_text(message.get("Subject"), first_chunk),
+        "from": decode_header_text(message.get("From"), first_chunk),
+        "date": parse_date(date_text),
         "date_str": date_text,
         "size": len(raw),
-        "attachments": _named_attachments(message),
+        "attachments": found.attachments,
         "multipart": message.is_multipart(),
-        "body": _body(message),
+        "body": found.body or "",
     }
 
 
-def parse_messages(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One message row per row of raw bytes; ``keep`` columns pass through."""
+def parse_messages(
+    df: DataFrame, content: str = "content", keep: tuple[str, ...] = (), first_chunk: bool = False
+) -> DataFrame:
+    """One message row per row of raw bytes; ``keep`` columns pass through. Null content is an empty message."""
     schema = T.StructType([df.schema[name] for name in keep] + MESSAGE.fields)
     fields = [field.name for field in MESSAGE.fields]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = pd.DataFrame([_fields(bytes(raw)) for raw in batch[content]], columns=fields)
+            rows = pd.DataFrame([read_message(raw, first_chunk) for raw in batch[content]], columns=fields)
             # Microseconds: years before 1678 do not fit a nanosecond column.
             rows["date"] = rows["date"].astype("datetime64[us, UTC]")
             for name in reversed(keep):

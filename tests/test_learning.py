@@ -124,7 +124,8 @@ def test_projection_centres_and_orders_variance(points):
     centred = vectors - vectors.mean(0)
     wanted = np.sort(np.linalg.eigvalsh(np.cov(centred.T)))[::-1][:5]
     assert np.allclose(found.var(0, ddof=1), wanted)
-    assert len(vc.project(points, "embedding", 500).first().components) == 64
+    with pytest.raises(ValueError, match="500 components"):
+        vc.project(points, "embedding", 500)
 
 
 @pytest.mark.parametrize("mode", ["kmeans", "agglomerative", "spectral"])
@@ -137,14 +138,14 @@ def test_clustering(points, mode):
 def test_grid_and_repeated_cv(points):
     grid = {"gnb": {}, "lr": {"C": [0.9], "penalty": ["l1", "l2"]}, "rf": {"n_estimators": [10], "max_depth": [None]},
             "svc": {"C": [0.1]}, "knn": {"n_neighbors": [15], "metric": ["manhattan"]}}
-    found = gr.candidates(grid, [250])
-    assert len(found) == 6
+    found = gr.candidates(grid, [64, 250])
+    assert len(found) == 12
     table = gr.grid_search(points, found, embedding="embedding", source="t", key="vec_id", label="label", k=2).collect()
     assert len(table) == 6 and table[0].mean_test_score == max(r.mean_test_score for r in table)
     assert {r.model for r in table} == set(grid)
     by_model = {r.model: r.mean_test_score for r in table}
     assert by_model["gnb"] > 0.4 and by_model["lr"] > 0.5 and by_model["svc"] > 0.5
-    assert all(r.params["pca__n_components"] == "250" for r in table)
+    assert all(r.params["pca__n_components"] == "64" for r in table)
     again = gr.repeated_cv(points, [("gnb", {}, 64)], embedding="embedding", source="t", key="vec_id", label="label", k=2, repeats=2)
     rows = again.collect()
     assert sorted(r.iteration for r in rows) == [0, 1, 2, 3]
