@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.keys import hash_prefix, order_hash
+from tallymark.functions.numbers import value_bucket
 
 
 def _partition(columns: Sequence[str]):
@@ -147,7 +148,8 @@ def with_chunk_by_value(
     placed = with_position(
         hashed,
         order=[F.col(value), F.col("__hash"), F.col(key)],
-        levels=[F.col(value), hash_prefix(F.col("__hash"))],
+        # Coarse buckets first: how many there are does not grow with the data.
+        levels=[value_bucket(F.col(value)), F.col(value), hash_prefix(F.col("__hash"))],
         name="__position",
     )
     return placed.withColumn(name, chunk_number("__position", rows)).drop("__hash", "__position")
@@ -156,14 +158,14 @@ def with_chunk_by_value(
 def with_chunk_by_time(
     df: DataFrame, moment: str, key: str, rows: int, *, seed: int = 0, name: str = "chunk"
 ) -> DataFrame:
-    """Chunk a frame sorted by a timestamp: day, then exact time, then hash."""
+    """Chunk a frame sorted by a timestamp: day, then second, then exact time, then hash."""
     hashed = df.withColumn("__hash", order_hash(key, seed))
     micros = F.unix_micros(F.col(moment))
     day = F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
     placed = with_position(
         hashed,
         order=[micros, F.col("__hash"), F.col(key)],
-        levels=[day, micros, hash_prefix(F.col("__hash"))],
+        levels=[day, F.floor(micros / F.lit(1_000_000)).cast("bigint"), micros, hash_prefix(F.col("__hash"))],
         name="__position",
     )
     return placed.withColumn(name, chunk_number("__position", rows)).drop("__hash", "__position")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.fixed import TOKEN_QUANTILE
 from tallymark.functions.keys import match_id
-from tallymark.functions.numbers import as_count
+from tallymark.functions.numbers import as_count, value_bucket
 from tallymark.operators.positions import rows_before
 from tallymark.schemas import NATURAL_KEY
 
@@ -31,12 +31,6 @@ def upper_middle(n: Column) -> Column:
     return F.floor(n / F.lit(2)).cast("bigint")
 
 
-def value_bucket(value: Column) -> Column:
-    """Non-decreasing whole number of a value, about 0.1 % wide."""
-    size = F.floor(F.log1p(F.abs(value.cast("double"))) * F.lit(1000.0))
-    return F.when(value < 0, -size - F.lit(1)).otherwise(size).cast("bigint")
-
-
 def values_at(
     df: DataFrame,
     value: str,

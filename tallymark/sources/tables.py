@@ -25,14 +25,18 @@ def scan(
     return df.select(*[f"`{name}`" for name in columns]) if columns else df
 
 
+#: Splits from which on a table is never dealt out anew.
+SMALL_SCAN = 32
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when a scan has fewer partitions than there are cores.
+    """Deal the rows of a small table out by key when its scan would leave cores idle.
 
-    For work that is heavy per row (cleaning, parsing). A large table has more
-    partitions than cores and passes through without a shuffle.
+    For work that is heavy per row (cleaning, parsing). Tables of ``SMALL_SCAN`` splits or
+    more pass through without a shuffle, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, SMALL_SCAN) else df
 
 
 def scan_model_tree(

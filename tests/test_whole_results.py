@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallymark import fixed
 from tallymark.learning import diverse, grid, nearest, vectors
-from tallymark.operators import sampling, votes
+from tallymark.functions.numbers import value_bucket
+from tallymark.operators import sampling, statistics, votes
 from tallymark.sources import mail
 
 
@@ -135,3 +136,15 @@ def test_no_message_ends_the_job(spark):
     assert rows[5].body.strip() == "日本語です" and rows[6].body.strip() == "žluťoučký" and rows[7].body.strip() == "ÿþ"
     assert mail.decode_header_text("=?utf-8?q?J=C3=BCrgen?= <a@example.org>", first_chunk=True) == "Jürgen"
     assert mail.parse_date("1 Jan 2024 00:00:00 +0100") == dt.datetime(2023, 12, 31, 23, tzinfo=dt.timezone.utc)
+
+
+def test_value_buckets_spread_and_never_fall(spark):
+    draw = np.random.default_rng(7)
+    small = draw.uniform(1e-9, 1e-3, 100_000)
+    values = [*small.tolist(), 0.0, -0.0, 1.0, 2.0, 1e300, float("inf"), 5e-324, *(-small[:100]).tolist(), -3.5, *(2.0**k for k in range(-60, 60))]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", value_bucket(F.col("x")).alias("b"))
+    rows = sorted((r.x, r.b) for r in df.collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+    assert df.groupBy("b").count().agg(F.max("count")).first()[0] < 2_000
+    found = statistics.exact_median(df, "x", [], "m").first().m
+    assert found == pytest.approx(np.median(values))
