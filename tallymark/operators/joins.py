@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.keys import match_id
+from tallymark.functions.labels import drop_parenthesis
 from tallymark.schemas import NATURAL_KEY
 
 
@@ -107,3 +108,26 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no rows in {what}")
     return df
+
+
+def labels_table(files: Mapping[str, DataFrame], label: str = "supervised_label") -> DataFrame:
+    """Several files of labels as one table with the ``version`` each row comes from.
+
+    Rows without a label go, class names lose their parenthesis. Columns are matched by
+    name; a message labelled in several files has a row for each.
+    """
+    parts = [
+        frame.filter(F.col(label).isNotNull()).withColumn(label, drop_parenthesis(label)).withColumn("version", F.lit(version))
+        for version, frame in files.items()
+    ]
+    return union_widened(*parts)
+
+
+def join_on_message(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the natural key as it stands: copies of a message multiply, nulls match nothing.
+
+    The key columns come from ``left``.
+    """
+    mine = left.withColumn("__message", match_id())
+    theirs = right.withColumn("__message", match_id()).drop(*NATURAL_KEY)
+    return mine.join(theirs, "__message", how).drop("__message")

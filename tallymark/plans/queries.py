@@ -1045,3 +1045,52 @@ def repeat_scoring(spark, sf_dir):
         per_class=fixed.PER_CLASS_RESAMPLED, template=_RULE_TEMPLATE,
     )
     return found.groupBy("model", "truth", "primary_category").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- the natural key, with copies that share it ------------------------------------------
+
+_COPIED = f"""copied AS (SELECT doc_id, substr(text, 1, 20) AS subject, lang AS sender, text AS body, {dv.START} + (length(text) % 1000) * 3600 AS moment FROM documents)"""
+
+
+def _copied_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages whose key follows from the text alone, so copies share it."""
+    seconds = F.lit(dv.START) + (F.length("text") % 1000).cast("bigint") * 3600
+    return tables.spread(dv.table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id", F.substring("text", 1, 20).alias("subject"), F.col("lang").alias("from"),
+        F.col("text").alias("body"), F.timestamp_seconds(seconds).alias("date"),
+    )
+
+
+@query(
+    f"""WITH {_COPIED},
+given AS (SELECT doc_id, 'first' AS version, CASE WHEN quality IS NOT NULL THEN 'c' || CAST(doc_id % 11 AS VARCHAR) END AS label FROM labels WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'second', CASE WHEN toxic = 0 THEN 'c' || CAST(doc_id % 11 AS VARCHAR) END FROM labels WHERE doc_id % 2 = 1),
+labelled AS (SELECT c.*, version, label FROM given JOIN copied c USING (doc_id) WHERE label IS NOT NULL)
+SELECT m.doc_id, l.version, count(*) AS copies, min(l.label) AS first_label, max(l.label) AS last_label
+FROM copied m JOIN labelled l ON m.subject = l.subject AND m.sender = l.sender AND m.body = l.body AND m.moment = l.moment GROUP BY ALL"""
+)
+def merge_labels_natural_key(spark, sf_dir):
+    messages, given = _copied_messages(spark, sf_dir), dv.table(spark, sf_dir, "labels")
+    name = F.concat(F.lit("c"), (F.col("doc_id") % 11).cast("string"), F.lit(" (a note, "), F.col("doc_id").cast("string"), F.lit(")"))
+    first = given.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("quality").isNotNull(), name).alias("supervised_label"))
+    second = given.filter("doc_id % 2 = 1").select(F.when(F.col("toxic") == 0, name).alias("supervised_label"), "doc_id")
+    loaded = jn.labels_table({"first": first, "second": second})
+    labelled = loaded.join(messages, "doc_id").drop("doc_id")
+    merged = jn.join_on_message(messages, labelled)
+    return merged.groupBy("doc_id", "version").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("supervised_label").alias("first_label"), F.max("supervised_label").alias("last_label")
+    )
+
+
+@query(
+    """SELECT doc_id, CAST(n_chars AS DOUBLE) AS size, source FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, n_chars / 4 AS size, source FROM documents WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, CAST(CAST(n_chars / 7 AS FLOAT) AS DOUBLE), source FROM documents WHERE doc_id % 3 = 2"""
+)
+def union_widened(spark, sf_dir):
+    docs = dv.table(spark, sf_dir, "documents")
+    size = F.col("n_chars").cast("double")
+    whole = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("int"), F.col("n_chars").cast("int").alias("size"), "source")
+    double = docs.filter("doc_id % 3 = 1").select("source", (size / 4).alias("size"), "doc_id")
+    single = docs.filter("doc_id % 3 = 2").select((size / 7).cast("float").alias("size"), "doc_id", "source")
+    return jn.union_widened(whole, double, single)
