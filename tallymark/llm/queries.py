@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import bpe, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
+#: In the order of their numbers.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -45,6 +46,29 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_documents(read(spark, sf_dir, "documents"))
 
 
+# Every pair that shares a shingle, counted; then all that a document reaches.
+ORACLE["op4_jaccard"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM w, UNNEST(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM n UNION SELECT b, root FROM reach JOIN links ON a = reach.doc_id
+), least AS (
+    SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws of a corpus-sized mix half way between the sources' own shares and equal ones."""

@@ -290,26 +290,24 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
                 scores.fill(set(words))
                 held = scores.of(words)
                 rounded, times = np.unique(np.round(held, 1), return_counts=True)
-                rows.append((key, len(words), [s for _, _, s in maximal_segments(held)], rounded.tolist(), times.tolist()))
-            ids, sizes, segments, rounded, times = map(list, zip(*rows)) if rows else ([], [], [], [], [])
+                rows.append((key, known.value[key], len(words), [s for _, _, s in maximal_segments(held)], rounded.tolist(), times.tolist()))
+            ids, toxic, sizes, segments, rounded, times = map(list, zip(*rows)) if rows else ([], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.float64())), pa.array(rounded, pa.list_(pa.float64())), pa.array(times, pa.list_(pa.int64()))],
-                ["id", "n", "segments", "scores", "times"],
+                [pa.array(ids, pa.int64()), pa.array(toxic, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.float64())), pa.array(rounded, pa.list_(pa.float64())), pa.array(times, pa.list_(pa.int64()))],
+                ["id", "toxic", "n", "segments", "scores", "times"],
             )
 
-    schema = "id long, n long, segments array<double>, scores array<double>, times array<long>"
+    schema = "id long, toxic boolean, n long, segments array<double>, scores array<double>, times array<long>"
     measured = map_rows(docs, [F.col(id_column).cast("long"), text_column], measure, schema)
     folder = new_folder(spark, "toxicity")
     measured.write.parquet(folder)
     measured = spark.read.schema(schema).parquet(folder)
     # Bounded by most_labels rows.
-    rows = measured.select("id", "n", "segments").toPandas()
-    rows["toxic"] = rows["id"].map(learners).astype(bool)
+    rows = measured.select("toxic", "n", "segments").toPandas()
+    rows["toxic"] = rows["toxic"].astype(bool)
     clean = rows[~rows["toxic"]]
-    clean_ids = spark.sparkContext.broadcast({i for i, t in learners.items() if not t})
-    is_clean = F.udf(lambda i: i in clean_ids.value, "boolean")
     spread = (
-        measured.filter(is_clean("id")).select(F.explode(F.arrays_zip("scores", "times")).alias("x")).groupBy("x.scores").agg(F.sum("x.times").alias("times")).toPandas()
+        measured.filter("not toxic").select(F.explode(F.arrays_zip("scores", "times")).alias("x")).groupBy("x.scores").agg(F.sum("x.times").alias("times")).toPandas()
     )
     rate = _solve_rate(spread["scores"].to_numpy(float), spread["times"].to_numpy(float))
     n_words = max(int(clean["n"].sum()), 1)

@@ -63,7 +63,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("join", [shingle_join.Join(), shingle_join.Join(counter_bits=12, frequent=3, very_frequent=24)])
+@pytest.mark.parametrize("join", [shingle_join.Join(), shingle_join.Join(counter_bits=12, frequent=3, very_frequent=24, small=2)])
 def test_join_by_hand(spark, corpus, join):
     sets = [set_of(t) for t in corpus]
     ids = [1000 - i for i in range(len(corpus))]
