@@ -8,10 +8,11 @@ prefixes are extended, and k-combinations inside a class are indexed in place of
 shingles: a class of c shingles survives c - k misses. A prefix is long enough when
 its classes together survive all misses the threshold allows.
 
-The rest keeps the work linear. Documents with equal sets become one node. A key's nodes
-are first compared with one of them, the hub, not with each other. Nodes linked through
-hubs are one component already; pairs of different components that share a key are then
-generated, counted and verified in a second step, so no link between components is lost.
+The rest keeps the work linear. Documents with equal sets become one node. The nodes of a
+large key are first compared with one of them, the hub, not with each other. Nodes linked
+through hubs are one component already; pairs of different components that share a key,
+large or small, are then generated, dropped if they share too few keys to link, and
+verified, so no link between components is lost.
 
 Frequencies come from counters of fixed size: they only set the order, any order is right.
 """
@@ -20,19 +21,18 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
-from tallymark.llm.tables import slices
+from tallymark.llm.counters import add_up, pack
+from tallymark.llm.tables import bound_batches, slices
 from tallymark.session import new_folder
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,14 +46,16 @@ class Join:
 
     ``counter_bits`` sizes the frequency counters (each 4 bytes, zipped) that every task sends
     and one byte each that is broadcast. A shingle whose counter stands ``frequent`` above what
-    chance explains is indexed in pairs, ``very_frequent`` in triples.
+    chance explains is indexed in pairs, ``very_frequent`` in triples. Keys of more than ``small``
+    postings are compared through a hub first.
     """
 
     words: int = 4
     percent: int = 85
-    counter_bits: int = 20
-    frequent: int = 64
-    very_frequent: int = 4096
+    counter_bits: int = 22
+    frequent: int = 16
+    very_frequent: int = 1024
+    small: int = 16
 
     def misses(self, n: int) -> int:
         """Shingles of a set of ``n`` that may be missing from a set it links with."""
@@ -86,10 +88,6 @@ def node_of(held: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-# Counters travel in parts of this many.
-_PART = 4096
-
-
 def _profile(df: DataFrame, join: Join, id_column: str, text_column: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of all rows, and the counters of every task in zipped parts; one pass, written to ``folder``."""
     size = 1 << join.counter_bits
@@ -108,19 +106,14 @@ def _profile(df: DataFrame, join: Join, id_column: str, text_column: str, folder
                     sizes.append(len(held))
                     drawn.append(held)
                 found = np.concatenate(drawn) >> np.uint64(64 - join.counter_bits)
-                counters += np.bincount(found.astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(counters, found.astype(np.int64), 1)
                 none = len(nodes)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
                     ["doc_id", "node", "checked", "n", "part", "counts"],
                 )
-        parts = [i for i in range(-(-size // _PART)) if counters[i * _PART : (i + 1) * _PART].any()]
-        blobs = [zlib.compress(counters[i * _PART : (i + 1) * _PART].tobytes(), 1) for i in parts]
-        none = len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(none, pa.int64())] * 4 + [pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())],
-            ["doc_id", "node", "checked", "n", "part", "counts"],
-        )
+        held = pack(counters)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64())] * 4 + held.columns, ["doc_id", "node", "checked", "n", "part", "counts"])
 
     df.select(id_column, text_column).mapInArrow(run, schema).write.parquet(folder)
     read = df.sparkSession.read.schema(schema).parquet(folder)
@@ -129,25 +122,9 @@ def _profile(df: DataFrame, join: Join, id_column: str, text_column: str, folder
 
 def _levels(counts: DataFrame, join: Join) -> np.ndarray:
     """A byte per counter: 0 where its shingles are rare, else the logarithm of how far it stands out."""
-    size = 1 << join.counter_bits
-
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(min(_PART, size), np.int64)
-        for blob in frame["counts"]:
-            held = zlib.decompress(blob)
-            total += np.frombuffer(held, np.uint32 if len(held) == 4 * len(total) else np.int64)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    # Salted first, so that no task gathers the counters of all tasks.
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(64)))
-    once = salted.groupBy("part", "salt").applyInPandas(summed, "part int, counts binary")
-    # One row of 32 kB a part: 2 ** counter_bits * 8 bytes in all.
-    total = np.zeros(size, np.int64)
-    for row in once.groupBy("part").applyInPandas(summed, "part int, counts binary").toLocalIterator():
-        start = row["part"] * _PART
-        total[start : start + _PART] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    total = add_up(counts, 1 << join.counter_bits)
     mean = total.mean()
-    above = (total - mean - 6 * np.sqrt(mean)) / join.frequent
+    above = (total - mean - 3 * np.sqrt(mean)) / join.frequent
     return np.where(above >= 1, np.floor(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
 
 
@@ -320,6 +297,7 @@ def link_documents(df: DataFrame, join: Join | None = None, id_column: str = "do
     """
     join = join or Join()
     spark = df.sparkSession
+    bound_batches(spark)
     folder = new_folder(spark, "shingles")
     rows, counts = _profile(df, join, id_column, text_column, f"{folder}/rows")
     levels = _levels(counts, join)
@@ -334,8 +312,9 @@ def link_documents(df: DataFrame, join: Join | None = None, id_column: str = "do
     central = F.struct(_rare("meta").alias("rare"), F.col("node").alias("hub"), F.col("meta").alias("meta_hub"))
     hubs = (
         postings.groupBy("sig")
-        .agg(F.min(central).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .agg(F.min(central).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held"))
         .filter("low < high")
+        .withColumn("hub", F.when(F.col("held") > join.small, F.col("hub")))
         .select("sig", "hub.hub", "hub.meta_hub")
     )
     postings.join(hubs, "sig").write.parquet(f"{folder}/shared")
@@ -355,9 +334,11 @@ def link_documents(df: DataFrame, join: Join | None = None, id_column: str = "do
     parts = connected_components(links)
 
     # Second step: keys whose nodes are not all of one component.
-    placed = shared.select("sig", "node", "meta").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.select("sig", "node", "meta").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    placed.join(mixed, "sig").write.parquet(f"{folder}/mixed")
+    # A node's key may come from several tasks.
+    placed = placed.join(mixed, "sig").groupBy("sig", "node").agg(F.min("meta").alias("meta"), F.min("component").alias("component"))
+    placed.write.parquet(f"{folder}/mixed")
     placed = spark.read.schema("sig long, node long, meta long, component long").parquet(f"{folder}/mixed")
     a = placed.select("sig", F.col("node").alias("a"), F.col("meta").alias("meta_a"), F.col("component").alias("component_a"))
     b = placed.select("sig", F.col("node").alias("b"), F.col("meta").alias("meta_b"), F.col("component").alias("component_b"))
