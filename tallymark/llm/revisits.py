@@ -110,17 +110,17 @@ def resolve(records: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     fresh = F.map_filter(F.coalesce("headers", none), lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(F.coalesce("stored", none), lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    revisits = revisits.withColumn("wanted", F.when(agreed, F.col("response_id"))).join(stored.withColumnRenamed("response_id", "wanted"), "wanted", "left")
     columns = ["record_id", "url", canonical_url(F.col("url")).alias("canonical_url"), "captured_at", "resolution", "response_id", "headers", "digest", "payload"]
-    resolved = revisits.withColumns(
-        {
-            "headers": F.when(agreed, merged).otherwise(F.col("headers")),
-            "payload": F.when(agreed, F.col("stored_payload")).otherwise(F.col("payload")),
-            "digest": F.when(agreed, F.coalesce("stored_digest", "digest")).otherwise(F.col("digest")),
-        }
-    ).select(*columns)
+    # Only what agreed is joined: all others would meet under one key.
+    resolved = (
+        revisits.filter(agreed)
+        .join(stored, "response_id")
+        .withColumns({"headers": merged, "payload": F.col("stored_payload"), "digest": F.coalesce("stored_digest", "digest")})
+        .select(*columns)
+    )
+    left = revisits.filter(~agreed).select(*columns)
     full = base.filter("not revisit").withColumns({"resolution": F.lit("full"), "response_id": F.col("record_id")}).select(*columns)
-    return full.unionByName(resolved)
+    return full.unionByName(resolved).unionByName(left)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
