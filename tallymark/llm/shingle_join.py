@@ -382,7 +382,8 @@ def keep_one(df: DataFrame, join: Join | None = None, id_column: str = "doc_id",
     found = df.sparkSession.read.schema(found.schema).parquet(folder)
     kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
     repeated = not kept.filter("count > 1").isEmpty()
-    rows = df.join(kept.select(F.col("doc_id").alias(id_column)), id_column, "left_semi").select(*df.columns)
+    # Merged at every size: the list of kept ids grows with the corpus and is no side to broadcast.
+    rows = df.join(kept.select(F.col("doc_id").alias(id_column)).hint("merge"), id_column, "left_semi").select(*df.columns)
     if repeated:
         row = F.struct(*[F.col(c) for c in df.columns])
         first = F.min_by(row, F.xxhash64(text_column))
