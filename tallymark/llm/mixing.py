@@ -101,8 +101,8 @@ def plan_mix(keyed: DataFrame, mix: Mix) -> DataFrame:
     """
     # At most BLOCKS rows a source; read by every pass below.
     blocks = keyed.groupBy("mix_key", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")).filter("block_tokens > 0").persist()
+    sizes = blocks.groupBy("mix_key").agg(F.sum("block_tokens").alias("tokens")).persist()
     try:
-        sizes = blocks.groupBy("mix_key").agg(F.sum("block_tokens").alias("tokens")).persist()
         total = sizes.agg(F.sum("tokens")).first()[0] or 0
         budget = float(total if mix.budget is None else mix.budget)
         exponent = find_exponent(sizes, total, budget, mix) if total else 1.0
@@ -137,6 +137,7 @@ def plan_mix(keyed: DataFrame, mix: Mix) -> DataFrame:
         # A few columns a source; read by the draw without the corpus passes above.
         return cut_lineage(whole)
     finally:
+        sizes.unpersist()
         blocks.unpersist()
 
 
