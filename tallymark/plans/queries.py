@@ -879,16 +879,20 @@ def kcentre_sample(spark, sf_dir):
     return found.select("vec_id", "label")
 
 
+#: The given vectors have 64 elements, fewer than ``fixed.PROJECTION_SIZE``: all their components are used.
+WHOLE_WIDTH = 64
+
+
 @query()
 def project_vectors(spark, sf_dir):
-    """Share of variance of the first components, and their largest mean."""
-    out = vc.project(dv.table(spark, sf_dir, "embeddings"), "embedding", 8)
+    """Variance and mean of all components."""
+    out = vc.project(dv.table(spark, sf_dir, "embeddings"), "embedding", WHOLE_WIDTH)
     parts = out.select("vec_id", F.posexplode("components").alias("component", "x"))
     return parts.groupBy("component").agg(F.var_pop("x").alias("variance"), F.avg("x").alias("mean"))
 
 
 def _cluster_sizes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    found = vc.cluster(dv.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", mode=mode, columns=16)
+    found = vc.cluster(dv.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", mode=mode, columns=WHOLE_WIDTH)
     return found.groupBy("cluster_mode", "cluster_label").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -907,40 +911,34 @@ def cluster_spectral(spark, sf_dir):
     return _cluster_sizes(spark, sf_dir, "spectral")
 
 
-_SMALL_GRID = {
-    "svc": {"C": [0.1]},
-    "knn": {"n_neighbors": [15, 50], "metric": ["cosine"]},
-    "rf": {"n_estimators": [20], "max_depth": [5]},
-    "gnb": {},
-    "lr": {"C": [0.01, 0.9], "penalty": ["l2"]},
-}
-
-
 @query()
 def grid_search(spark, sf_dir):
-    """Mean weighted F1 of each classifier and parameter set over four folds."""
+    """Mean weighted F1 over four folds of the whole grid, at every size that the vectors have."""
     return gr.grid_search(
-        dv.separable(spark, sf_dir), gr.candidates(_SMALL_GRID, [25]), embedding="embedding",
+        dv.separable(spark, sf_dir), gr.candidates(), embedding="embedding",
         source="derived", key="vec_id", label="label",
     )
 
 
 @query()
 def repeated_cv(spark, sf_dir):
-    """F1 and accuracy of two classifiers on four folds, drawn twice."""
+    """F1 and accuracy of two classifiers on four folds, drawn ten times."""
     winners = [("gnb", {}, 25), ("lr", {"C": 0.9, "penalty": "l2"}, 25)]
     return gr.repeated_cv(
         dv.separable(spark, sf_dir), winners, embedding="embedding", source="derived", key="vec_id",
-        label="label", repeats=2,
+        label="label",
     )
 
 
 @query()
 def compare_embeddings(spark, sf_dir):
-    """The same classifier on two vectors of every row."""
-    both = dv.separable(spark, sf_dir).withColumn("halved", F.slice("embedding", 1, 32))
+    """The same classifier on two vectors of every message that has both: the given one and hashed words."""
+    text = vc.model_text(dv.messages(spark, sf_dir)).select("doc_id", "model_text")
+    hashed = vc.embed_hashed(text, "model_text", "hashed", width=64).select(F.col("doc_id").alias("vec_id"), "hashed")
+    # Used by every repeat, and slim: kept instead of hashed again.
+    both = cut_lineage(dv.separable(spark, sf_dir).join(hashed, "vec_id"))
     return gr.compare_embeddings(
-        both, ("gnb", {}, 16), ["embedding", "halved"], source="derived", key="vec_id", label="label", repeats=1
+        both, ("gnb", {}, 50), ["embedding", "hashed"], source="derived", key="vec_id", label="label"
     )
 
 

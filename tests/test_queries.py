@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tallymark.learning import grid
 from tests.conftest import SF
 
 TABLES = "documents embeddings pages labels conversations".split()
@@ -63,3 +64,18 @@ def test_cluster_queries_keep_all_rows(spark, name):
 def test_hashed_vector_query(spark):
     rows = entry_points.queries()["hashed_vectors"](spark, SF).collect()
     assert len(rows) == 200 and all(r.norm == pytest.approx(1, abs=1e-3) for r in rows)
+
+
+def test_learning_queries_do_the_whole_job(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(grid, "score_candidates", lambda df, found, **how: asked.setdefault(how["vector"], []).append((df, found)) or [])
+    entry_points.queries()["grid_search"](spark, SF)
+    found = asked.pop("embedding")[0][1]
+    assert len(found) == 62 and found == [c for c in grid.candidates() if c[2] <= 64]
+    entry_points.queries()["repeated_cv"](spark, SF)
+    assert len(asked.pop("embedding")) == 10
+    entry_points.queries()["compare_embeddings"](spark, SF)
+    assert {vector: len(runs) for vector, runs in asked.items()} == {"embedding": 10, "hashed": 10}
+    row = asked["hashed"][0][0].first()
+    assert len(row.hashed) == len(row.embedding) == 64 and row.hashed != row.embedding
+    assert entry_points.queries()["project_vectors"](spark, SF).count() == 64
