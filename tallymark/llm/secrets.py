@@ -1,11 +1,12 @@
 """Scans for secrets: fixed patterns, and windows of high entropy.
 
-A candidate string is a maximal run of the characters keys are written in. A window of
-fixed width slides over it; leaving and entering characters change the counts, and with
-them the sum of ``c log2 c`` that gives the window's Shannon entropy. Each character
-class has a width and a threshold of its own. Windows at or above the threshold are
-united into spans. Strings on the allow list (words, ids of known forms, samples
-from manuals, runs of one alphabet in order) are passed over; what the patterns found stays.
+A candidate is a maximal run of the characters keys are written in. What is known not to be
+secret (ids of known forms, names with "example", alphabets in order) is cut out of it. In what is
+left, each character class has its own maximal runs, so a key joined to a name by one of "=_/-" is
+measured alone. A window of fixed width slides over a run; leaving and entering characters change
+the counts, and with them the sum of ``c log2 c`` that gives the window's Shannon entropy.
+Windows at or above the class's threshold are united into spans. Runs without a digit or
+without a letter, and spans that touch a sample from a manual, are passed over; what the patterns found stays.
 """
 
 from __future__ import annotations
@@ -29,31 +30,42 @@ ASSIGN_LEAST = 6
 KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Strings that look random but are known not to be secrets.
-ALLOWED = [
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]?[a-z]*(?:[-_/=+][A-Za-z]?[a-z]*)*"),
-    re.compile(r"[0-9_/=+-]+"),
-    re.compile(r".*EXAMPLE.*", re.I),
-]
+#: Strings that are known not to be secrets, cut out of a candidate: ids of known forms, and names with "example".
+KNOWN = re.compile(
+    r"""(?<![A-Za-z0-9])(?:
+    [0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}
+    |(?=[a-z]*example|[A-Z][a-z]*example|Example|EXAMPLE)(?:[A-Za-z]?[a-z]*|EXAMPLES?)[0-9]*
+    )(?![A-Za-z0-9])""",
+    re.X,
+)
+#: Samples from manuals: "example" inside a string that is no name.
+SAMPLE = re.compile(r"example", re.I | re.A)
 ORDERED = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: Characters in order that are an alphabet, not a key.
+ORDERED_LENGTH = 20
+FOLLOWS = frozenset(row[i : i + 2] for row in ORDERED for i in range(len(row) - 1))
 
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Windows of ``width`` characters of this class with at least ``bits`` of entropy count."""
+    """Windows of ``width`` characters of this class with at least ``bits`` of entropy count; ``run`` matches its maximal runs."""
 
     name: str
-    characters: frozenset[str]
+    run: re.Pattern[str]
     width: int
     bits: float
 
 
+#: 99 of 100 windows of random keys of the class's alphabet reach its bits. "=" ends a base64 run: it pads or assigns.
 CLASSES = (
-    CharacterClass("hex", frozenset("0123456789abcdef"), 20, 3.1),
-    CharacterClass("upper", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.5),
-    CharacterClass("mixed", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"), 20, 3.7),
+    CharacterClass("hex", re.compile("[0-9a-f]{20,}"), 20, 2.86),
+    CharacterClass("upper hex", re.compile("[0-9A-F]{20,}"), 20, 2.86),
+    CharacterClass("lower", re.compile("[0-9a-z]{20,}"), 20, 3.38),
+    CharacterClass("upper", re.compile("[0-9A-Z]{20,}"), 20, 3.38),
+    CharacterClass("letters and digits", re.compile("[0-9A-Za-z]{20,}"), 20, 3.64),
+    CharacterClass("base64", re.compile("[0-9A-Za-z+/_-]{20,}"), 20, 3.64),
 )
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
 def entropy_windows(text: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
@@ -87,25 +99,56 @@ def entropy_windows(text: str, width: int, bits: float) -> Iterator[tuple[int, i
         yield opened, closed
 
 
-def allowed(text: str) -> bool:
-    if any(pattern.fullmatch(text) for pattern in ALLOWED):
-        return True
-    return any(text[:20] in row or text[-20:] in row for row in ORDERED)
+def ordered_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Maximal runs of at least ``ORDERED_LENGTH`` characters that follow each other in an alphabet."""
+    start = 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or text[i - 1 : i + 1] not in FOLLOWS:
+            if i - start >= ORDERED_LENGTH:
+                yield start, i
+            start = i
+
+
+def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """What is left of a candidate without the known strings in it."""
+    run = text[start:stop]
+    at = 0
+    for a, b in sorted([m.span() for m in KNOWN.finditer(run)] + list(ordered_runs(run))):
+        yield start + at, start + max(a, at)
+        at = max(at, b)
+    yield start + at, stop
 
 
 def entropy_spans(text: str, classes: tuple[CharacterClass, ...] = CLASSES) -> list[tuple[int, int]]:
-    """Spans of high entropy in the whole text; each candidate belongs to the smallest class that holds its characters."""
-    spans = []
+    """Spans of high entropy in the whole text, those that overlap as one."""
+    found = []
     for match in CANDIDATE.finditer(text):
-        run = match[0]
-        if allowed(run):
-            continue
-        letters = set(run)
-        kind = next((c for c in classes if letters <= c.characters), None)
-        if kind is None or not any(c.isdigit() for c in letters):
-            continue
-        spans += [(match.start() + a, match.start() + b) for a, b in entropy_windows(run, kind.width, kind.bits)]
-    return spans
+        for start, stop in _pieces(text, *match.span()):
+            samples = [m.span() for m in SAMPLE.finditer(text, start, stop)]
+            for kind in classes:
+                for run in kind.run.finditer(text, start, stop):
+                    if not (_DIGIT.search(run[0]) and _LETTER.search(run[0])):
+                        continue
+                    at = run.start()
+                    spans = ((at + a, at + b) for a, b in entropy_windows(run[0], kind.width, kind.bits))
+                    found += _untouched(spans, samples) if samples else spans
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if joined and a < joined[-1][1]:
+            joined[-1] = joined[-1][0], max(b, joined[-1][1])
+        else:
+            joined.append((a, b))
+    return joined
+
+
+def _untouched(spans: Iterator[tuple[int, int]], samples: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that no sample touches; both are in order and apart."""
+    i = 0
+    for a, b in spans:
+        while i < len(samples) and samples[i][1] <= a:
+            i += 1
+        if i == len(samples) or samples[i][0] >= b:
+            yield a, b
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:

@@ -157,6 +157,23 @@ def test_entropy_and_allow_list(text, found):
     assert bool(secrets.entropy_spans(text)) is found
 
 
+@pytest.mark.parametrize("glue", ["id=", "id_", "Key-", "a/b/", "example_app=", "my-example2/", "123e4567-e89b-12d3-a456-426614174000/", "abcdefghijklmnopqrstuvwxyz0123456789="])
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_keys_joined_to_names(letters, glue):
+    draw = random.Random(9)
+    keys = ["".join(draw.choice(letters) for _ in range(19)) + draw.choice("0123456789") for _ in range(500)]
+    found = 0
+    for key in keys:
+        spans = secrets.entropy_spans(f"see {glue}{key} end")
+        found += any(a <= 4 + len(glue) and b >= 4 + len(glue) + 20 for a, b in spans)
+    assert found >= 480
+
+
+@pytest.mark.parametrize("text", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "id=123e4567-e89b-12d3-a456-426614174000", "set=ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "n_12345678901234567890", "a/long-path_of/words=only"])
+def test_known_strings_joined_to_names(text):
+    assert secrets.entropy_spans(text) == []
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame(
         [(1, 'x password = "abcdef12" y', 25, "a"), (2, None, 7, None), (3, "clean", 5, "a"), (3, "clean", 5, "a"), (4, "token: deadbeefdeadbeefdeadbeef01", 33, "b")],
