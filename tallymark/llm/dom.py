@@ -25,11 +25,11 @@ ENDS = {
 #: Where the search for an open paragraph stops.
 WALLS = frozenset("table td th button body html object caption".split())
 
-# Attributes with their quotes closed, else up to the next ">"; nothing is tried twice.
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>|([^>]*+)>)""", re.S
-)
-_MARKS = re.compile(r"""(?<![\w-])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: The end of a tag, or a value with its quote or, without one, whole.
+_STEP = re.compile(r"""=\s*+(?:(["'])|([^\s>]*+))|>""")
+_MARKS = frozenset(("class", "id", "role"))
+_GIVEN = "data-y"
 
 TEXT = "#text"
 
@@ -55,6 +55,34 @@ class Page:
         return len(self.parent) - 1
 
 
+def _attributes(source: str, at: int, unclosed: set[str]) -> tuple[int, str, str]:
+    """Where a tag ends that has its name before ``at`` (-1 if nowhere), its marks and its ``data-y``.
+
+    A quote that opens a value and never closes ends the tag at the next ">". ``unclosed`` holds the
+    quotes that are known not to come again, so that nothing is searched twice.
+    """
+    marks = given = ""
+    while found := _STEP.search(source, at):
+        if found[0] == ">":
+            return found.end(), marks, given
+        name = source[at : found.start()].split()
+        name = name[-1].rpartition("/")[2].lower() if name else ""
+        quote, value, at = found[1], found[2], found.end()
+        if quote:
+            end = -1 if quote in unclosed else source.find(quote, at)
+            if end < 0:
+                unclosed.add(quote)
+                return source.find(">", at) + 1 or -1, marks, given
+            if name in _MARKS or name == _GIVEN:
+                value = source[at:end]
+            at = end + 1
+        if name == _GIVEN:
+            given = value
+        elif name in _MARKS:
+            marks += " " + value
+    return -1, marks, given
+
+
 def parse(source: str | None) -> Page:
     """The tree of a page; null and empty pages have the page node alone."""
     page = Page()
@@ -80,6 +108,7 @@ def parse(source: str | None) -> Page:
 
     at = 0
     lower = None
+    unclosed: set[str] = set()
     final = source.rfind(">")
     while True:
         # Without another ">" only a comment can follow, and it would run to the end.
@@ -92,6 +121,12 @@ def parse(source: str | None) -> Page:
         name = found[2]
         if name is None:
             continue
+        if found.start() > final:
+            put(source[found.start() :].split("<!--")[0])
+            break
+        at, marks, given = _attributes(source, at, unclosed)
+        if at < 0:
+            break
         name = name.lower()
         if found[1]:
             if open_tags.get(name):
@@ -102,7 +137,6 @@ def parse(source: str | None) -> Page:
             elif name in ("p", "br"):
                 page.flow.append(-1)
             continue
-        attributes = found[3] if found[3] is not None else found[4]
         if name not in INLINE:
             page.flow.append(-1)
             if open_tags.get("p"):
@@ -121,24 +155,16 @@ def parse(source: str | None) -> Page:
                         depth -= 1
                     if last is not None:
                         close(last)
-        marks = given = ""
-        if attributes and "=" in attributes:
-            for mark in _MARKS.finditer(attributes):
-                value = mark[2] or mark[3] or mark[4] or ""
-                if mark[1].lower() == "data-y":
-                    given = value
-                else:
-                    marks += " " + value
         if name in VOID:
             continue
         if name in RAW:
             # To its end tag, whatever stands between.
-            if lower is None:
-                lower = source.lower()
-            end = lower.find(f"</{name}", at)
-            if not attributes.endswith("/") and end < 0:
-                break
-            if not attributes.endswith("/"):
+            if source[at - 2] != "/":
+                if lower is None:
+                    lower = source.lower()
+                end = lower.find(f"</{name}", at)
+                if end < 0:
+                    break
                 end = source.find(">", end)
                 at = end + 1 if end >= 0 else len(source)
             page.flow.append(-1)

@@ -1,6 +1,7 @@
 """Operators that learn: toxicity and page text; and the pipeline."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,22 @@ def test_broken_markup():
         dom.parse(source)
 
 
+@pytest.mark.parametrize("n", [100, 30_000, 300_000])
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes(n, quote):
+    page = dom.parse(f"<div data-x={quote}{'x' * n}<p>leak</p></article><script>{quote} class=a id='b' data-y=main title=it's>body</div><i>end")
+    assert page.text == {2: "body", 4: "end"} and page.tag == ["#page", "div", "#text", "i", "#text"]
+    assert page.marks[1] == " a b" and page.given[1] == "main"
+
+
+def test_quotes_that_never_close():
+    assert list(dom.parse('<p class="x>a</p><b>c').text.values()) == ["a", "c"]
+    started = time.perf_counter()
+    for source in ("<a b=\"c>" * 50_001, "<a b='" * 100_000 + ">", "<a " * 100_000 + ">", '<a b="">' * 50_000 + "<a b='", "<a b=" * 100_000 + ">"):
+        dom.parse(source)
+    assert time.perf_counter() - started < 20
+
+
 @pytest.fixture(scope="module")
 def page_model(spark):
     return page_text.train(labelled_pages.labelled(spark))
