@@ -29,8 +29,6 @@ EDGES = {TEXT: 0, "a": 1, "p": 2, "div": 3, "section": 3, "ul": 4, "ol": 4, "li"
 OTHER_EDGE = 7
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: Characters of marks looked at, so that one absurd attribute doesn't fill the tables.
-MARK_LENGTH = 400
 #: Weight of one imagined node of each state in every count.
 SMOOTHING = 0.3
 
@@ -84,10 +82,12 @@ def plant(pages: list[Page]) -> Forest:
     return forest
 
 
-def _element_features(tag: str, marks: str) -> list[str]:
+def _element_features(tag: str, marks: str, known: dict[str, np.ndarray] | None = None) -> list[str]:
+    """The tag and all words of the marks; with ``known`` only what it holds, so that long marks don't fill the tables."""
     found = [f"tag:{tag}"]
     if marks:
-        found += sorted({f"mark:{w}" for w in _WORD.findall(_HUMP.sub(" ", marks[:MARK_LENGTH]).lower()) if not w.isdigit()})
+        words = {w for w in _WORD.findall(_HUMP.sub(" ", marks).lower()) if not w.isdigit()}
+        found += sorted(f for w in words if (f := f"mark:{w}") and (known is None or f in known))
     return found
 
 
@@ -98,11 +98,11 @@ def _size_features(is_text: np.ndarray, words: np.ndarray, linked: np.ndarray) -
     return held * 6 + share * 2 + is_text
 
 
-def _feature_rows(forest: Forest) -> tuple[list[list[str]], np.ndarray]:
+def _feature_rows(forest: Forest, known: dict[str, np.ndarray] | None = None) -> tuple[list[list[str]], np.ndarray]:
     """Tables for the marginals: lists of features by kind of element, and each node's kind."""
     kinds: dict[tuple[str, str], int] = {}
     numbers = [kinds.setdefault((t, m), len(kinds)) for p in forest.pages for t, m in zip(p.tag, p.marks)]
-    return [_element_features(*kind) for kind in kinds], np.array(numbers, np.int64)
+    return [_element_features(*kind, known) for kind in kinds], np.array(numbers, np.int64)
 
 
 def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
@@ -112,8 +112,8 @@ def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
 
 def marginals(forest: Forest, model: Model) -> np.ndarray:
     """Probability of each state of each node, by messages up and down the trees."""
-    kinds, kind = _feature_rows(forest)
     known = model.features
+    kinds, kind = _feature_rows(forest, known)
     none = np.zeros(3)
     by_kind = np.array([sum((known.get(f, none) for f in k), none) for k in kinds])
     is_text = forest.edge == EDGES[TEXT]

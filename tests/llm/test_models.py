@@ -144,6 +144,16 @@ def test_marginals_by_enumeration(page_model):
     assert np.allclose(found, weight / weight.sum(1, keepdims=True))
 
 
+def test_words_after_long_marks(page_model):
+    long_list = " ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    # Of the words beyond the old cut and of the same words alone the same comes out.
+    known = sorted(f[5:] for f in page_model.features if f.startswith("mark:"))
+    assert known
+    for word in known:
+        features = page_text._element_features("div", f" {long_list} {word}", page_model.features)
+        assert features == page_text._element_features("div", f" {word}", page_model.features) == ["tag:div", f"mark:{word}"]
+
+
 def test_pages_of_other_layouts(spark, page_model):
     pages = [
         ("<body><div class='topnav'><a href=1>Home</a> <a href=2>News</a></div><div class=wrapper><div class='story-body'><h1>Title</h1><p>First text, with more.</p><p>Second&nbsp;one <i>goes</i> o<b>n</b>.</p></div></div><div class=footer>Copyright</div>", "Title First text, with more. Second one goes on."),
