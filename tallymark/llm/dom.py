@@ -5,10 +5,21 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg math".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements that stand in a paragraph without ending it, though breaks surround them.
+WITHIN = frozenset("svg math noscript template".split())
+#: Elements of another language, where "/>" closes, and those that bring the page's own back.
+FOREIGN = frozenset(("svg", "math"))
+HOSTS = frozenset(("foreignobject", "annotation-xml"))
+#: An element that can't stand in a foreign one closes it.
+BREAKS_OUT = frozenset(
+    """article aside b big blockquote body br center code dd div dl dt em embed footer h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta
+    nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var""".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -55,6 +66,11 @@ class Page:
         return len(self.parent) - 1
 
 
+@cache
+def _end_tag(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I | re.A)
+
+
 def _attributes(source: str, at: int, unclosed: set[str]) -> tuple[int, str, str]:
     """Where a tag ends that has its name before ``at`` (-1 if nowhere), its marks and its ``data-y``.
 
@@ -106,8 +122,11 @@ def parse(source: str | None) -> Page:
         elif text:
             page.flow.append(-1)
 
+    def foreign() -> bool:
+        return any(open_tags.get(t) for t in FOREIGN) and not any(open_tags.get(t) for t in HOSTS)
+
     at = 0
-    lower = None
+    never: set[str] = set()
     unclosed: set[str] = set()
     final = source.rfind(">")
     while True:
@@ -137,8 +156,14 @@ def parse(source: str | None) -> Page:
             elif name in ("p", "br"):
                 page.flow.append(-1)
             continue
+        inside = foreign()
+        if inside and name in BREAKS_OUT:
+            while foreign():
+                close(len(stack) - 1)
+            inside = False
         if name not in INLINE:
             page.flow.append(-1)
+        if name not in INLINE and name not in WITHIN and not inside:
             if open_tags.get("p"):
                 depth = len(stack) - 1
                 while page.tag[stack[depth]] not in WALLS and page.tag[stack[depth]] != "p" and depth > 0:
@@ -157,18 +182,18 @@ def parse(source: str | None) -> Page:
                         close(last)
         if name in VOID:
             continue
+        if source[at - 2] == "/" and (inside or name in FOREIGN or name in RAW):
+            continue
         if name in RAW:
             # To its end tag, whatever stands between.
-            if source[at - 2] != "/":
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find(f"</{name}", at)
-                if end < 0:
-                    break
-                end = source.find(">", end)
+            end = None if name in never else _end_tag(name).search(source, at)
+            if end is not None:
+                end = source.find(">", end.end())
                 at = end + 1 if end >= 0 else len(source)
-            page.flow.append(-1)
-            continue
+                continue
+            never.add(name)
+            if not inside:
+                break
         node = page.add(stack[-1], name, marks, given)
         stack.append(node)
         open_tags[name] = open_tags.get(name, 0) + 1

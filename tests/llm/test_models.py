@@ -120,6 +120,22 @@ def test_quotes_that_never_close():
     assert time.perf_counter() - started < 20
 
 
+@pytest.mark.parametrize("start", ["<svg><path d=x>", "<svg><g><title>", "<math>", "<noscript>", "<template>", "<xmp>"])
+def test_unclosed_elements_keep_the_page(start):
+    assert list(dom.parse(f"<p>a</p>{start}<article><p>b<i>c</i></article>").text.values()) == ["a", "b", "c"]
+
+
+def test_elements_whose_text_is_seen():
+    page = dom.parse("<p>a<svg><path/><g/></svg>b <math><mi>x</mi><mo/></math> c<noscript>d</noscript></p><xmp>e</xmp>")
+    assert [(page.tag[page.parent[n]], t.strip()) for n, t in page.text.items()] == [("p", "a"), ("p", "b"), ("mi", "x"), ("p", "c"), ("noscript", "d"), ("xmp", "e")]
+
+
+@pytest.mark.parametrize("name", ["script", "STYLE", "title", "textarea", "iframe"])
+def test_end_tags_after_letters_that_grow(name):
+    page = dom.parse("\u0130" * 20 + f"<{name}>x</{name.lower()}ed></{name.lower()} ><p>short</p><p>last</p>")
+    assert list(page.text.values())[1:] == ["short", "last"]
+
+
 @pytest.fixture(scope="module")
 def page_model(spark):
     return page_text.train(labelled_pages.labelled(spark))
