@@ -1,7 +1,7 @@
 """From raw documents to token ids, stage by stage; each stage is written and read again.
 
 1. quality rules: documents that repeat themselves too much, or have next to no words, go;
-2. n-gram Jaccard join: one document of each group of near duplicates stays;
+2. n-gram Jaccard join: one document of each group of near duplicates (80 percent of five-word shingles) stays;
 3. secret scans: secrets are masked, all documents stay;
 4. mixing: sources are drawn at target weights, a document as often as its source asks for it;
 5. byte-pair encoding: ids and decoded text as digests.
@@ -20,13 +20,16 @@ from tallymark.llm import bpe, mixing, repetition, secrets, shingle_join
 from tallymark.llm.tables import read
 from tallymark.session import new_folder
 
+#: Near duplicates of the stage. The query op4_jaccard has a rule of its own, four words and 85 percent.
+NEAR = shingle_join.Join(words=5, percent=80)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_join.keep_one(docs)
+    return shingle_join.keep_one(docs, NEAR)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

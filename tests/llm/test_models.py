@@ -193,6 +193,14 @@ def test_labelled_pages_of_another_seed(page_model):
     assert (kept == (state == page_text.MAIN))[texts].mean() > 0.97
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    words = [f"w{i}" for i in range(97)]
+    copy = [*words]
+    copy[30], copy[60] = "x", "y"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
+
+
 def test_pipeline(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
