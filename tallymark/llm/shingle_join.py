@@ -274,7 +274,8 @@ def _verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join, id_
                         ["node", "held"],
                     )
 
-    ids = df.select(F.col(id_column).alias("doc_id"), F.col(text_column))
+    # Nodes hold their documents as long: an int hashes otherwise.
+    ids = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column))
     sets = ids.select(place, text_column).mapInArrow(run, "node long, held array<long>")
     sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     folder = new_folder(spark, "sets")

@@ -248,6 +248,14 @@ def test_canonical_urls(spark):
     assert [r[0] for r in rows] == ["example.com/a?a=1&b=2"] * 3 + [None, ""]
 
 
+def test_links_of_int_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:50], f"x{i}", *words[51:]])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {r.component_id for r in shingle_join.link_documents(docs).collect()} == {0}
+    assert [r.doc_id for r in shingle_join.keep_one(docs).collect()] == [0]
+
+
 def test_licenses_by_hand(spark):
     draw = random.Random(8)
     fresh = lambda n: " ".join(f"w{draw.randrange(500)}" for _ in range(n))
