@@ -12,6 +12,8 @@ Everything is made of built-in functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,28 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("Artistic-2.0", "This program is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("Artistic", "licensed under the terms of the Artistic License"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BUSL-1.1", "Use of this software is governed by the Business Source License"),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("WTFPL", "Do What The Fuck You Want To Public License"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+        "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-1.0", "EPL-2.0",
+        "Artistic-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0",
+    )),
 ]
+#: Notices of under five words for callers who want them too; the query's SQL counts shingles of five words.
+SHORT_TEMPLATES = [("MIT", "MIT License"), *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "ISC", "Zlib", "Unlicense", "WTFPL"))]
 
 WIDTH = 5
 BANDS = 24
@@ -61,11 +84,17 @@ def shingles_of(text: Column, width: int = WIDTH) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``template`` (number), ``license``, ``shingles`` (distinct) and ``m``; templates of under five words are left out."""
+    """``template`` (number), ``license``, ``width``, ``shingles`` (distinct) and ``m``.
+
+    A template of under five words has one shingle of its own length; one without words is an error.
+    """
     rows = [(i, name, text) for i, (name, text) in enumerate(templates if templates is not None else TEMPLATES)]
     table = spark.createDataFrame(rows, "template int, license string, text string")
-    table = table.select("template", "license", F.array_distinct(shingles_of(F.col("text"))).alias("shingles"))
-    return table.withColumn("m", F.size("shingles")).filter("m > 0")
+    words = F.size(words_of(F.col("text")))
+    no_words = F.raise_error(F.concat(F.lit("no words in the template of "), "license"))
+    shingles = F.when(words >= WIDTH, F.array_distinct(shingles_of(F.col("text")))).when(words > 0, F.array(F.concat_ws(" ", words_of(F.col("text")))))
+    table = table.select("template", "license", F.least(words, F.lit(WIDTH)).alias("width"), F.when(words == 0, no_words).otherwise(shingles).alias("shingles"))
+    return table.withColumn("m", F.size("shingles"))
 
 
 def _hash(shingle: Column, band: int) -> Column:
@@ -85,8 +114,19 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, bands: i
     one license the best counts. The templates are a bounded list: their tables are
     broadcast. Long texts are cut into windows, each a row of its own.
     """
-    spark = df.sparkSession
-    table = template_table(spark, templates)
+    table = template_table(df.sparkSession, templates)
+    widths = sorted(row["width"] for row in table.select("width").distinct().collect())
+    if not widths:
+        return df.select(F.col(id_column).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).limit(0)
+    parts = [_scan(df, table.filter(F.col("width") == width), width, bands, least, id_column, text_column) for width in widths]
+    verified = reduce(DataFrame.unionByName, parts)
+    return verified.groupBy("doc_id", "license").agg(
+        F.max("containment").alias("containment"), F.min_by("start", F.struct(-F.col("containment"), "start")).alias("first_word")
+    )
+
+
+def _scan(df: DataFrame, table: DataFrame, width: int, bands: int, least: float, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id``, ``license``, ``containment`` and ``start`` of every window that holds a template of ``width``-word shingles."""
     minima = table.select("template", "m", "shingles", F.array(*[_minimum("shingles", b) for b in range(bands)]).alias("lows"))
     # A few rows for each template: driver and tasks hold them as literals.
     listed = minima.select(
@@ -94,10 +134,8 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, bands: i
     ).collect()
     picks = sorted({s for row in listed for s in row["picks"]})
     sizes = sorted({row["m"] for row in listed})
-    if not picks:
-        return df.select(F.col(id_column).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).limit(0)
     telling = F.array(*[F.lit(p) for p in picks])
-    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), shingles_of(F.col(text_column)).alias("all_shingles"))
+    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), shingles_of(F.col(text_column), width).alias("all_shingles"))
     texts = texts.filter(F.arrays_overlap("all_shingles", telling))
     # Windows of each template size: 2m shingles from every m-th on.
     window = lambda m: F.transform(
@@ -112,6 +150,4 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, bands: i
     found = banded.join(F.broadcast(keys), ["m", "band", "low"]).select("doc_id", "template", "start", "held").distinct()
     share = F.size(F.array_intersect("shingles", "held")) / F.col("m")
     verified = found.join(F.broadcast(table), "template").withColumn("containment", share).filter(F.col("containment") >= least)
-    return verified.groupBy("doc_id", "license").agg(
-        F.max("containment").alias("containment"), F.min_by("start", F.struct(-F.col("containment"), "start")).alias("first_word")
-    )
+    return verified.select("doc_id", "license", "containment", "start")

@@ -256,6 +256,14 @@ def test_links_of_int_ids(spark):
     assert [r.doc_id for r in shingle_join.keep_one(docs).collect()] == [0]
 
 
+def test_licenses_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "the MIT license, here"), (2, "SPDX-License-Identifier: ISC"), (3, "# spdx-license-identifier: BSD-3-Clause\n"), (4, "a license of MIT")], "doc_id long, text string")
+    found = licenses.scan(docs, [*licenses.TEMPLATES, *licenses.SHORT_TEMPLATES]).collect()
+    assert {(r.doc_id, r.license, r.first_word) for r in found} == {(1, "MIT", 0), (2, "ISC", 0), (3, "BSD-3-Clause", 0)}
+    with pytest.raises(Exception, match="no words"):
+        licenses.scan(docs, [("none", "--")])
+
+
 def test_licenses_by_hand(spark):
     draw = random.Random(8)
     fresh = lambda n: " ".join(f"w{draw.randrange(500)}" for _ in range(n))
