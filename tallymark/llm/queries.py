@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
+from tallymark.llm import bpe, centroids, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
 from tallymark.llm.tables import read
 
 #: In the order of their numbers.
@@ -205,3 +205,43 @@ SELECT record_id, site AS canonical_url, resolution, CASE WHEN revisit THEN foun
     CAST(length(CASE WHEN resolution IN ('etag', 'last-modified') THEN f_payload ELSE payload END) AS BIGINT) AS payload_chars
 FROM decided
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the nearest of 16 centroids after three rounds."""
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _round_sql(n: int) -> str:
+    """Assignment to the centroids ``c{n}``, and their floored means as ``c{n + 1}``; an empty one stays."""
+    return f"""far{n} AS (
+    SELECT v.row, c.cluster, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v, c{n} c
+), near{n} AS (
+    SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM far{n} GROUP BY row
+), sums{n} AS (
+    SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM (
+        SELECT near{n}.cluster, UNNEST(range(1, 65)) AS d, UNNEST(v.q) AS x FROM near{n} JOIN v USING (row)
+    ) GROUP BY cluster, d
+), means{n} AS (
+    SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY d) AS q FROM sums{n} GROUP BY cluster
+), c{n + 1} AS (
+    SELECT cluster, coalesce(means{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN means{n} USING (cluster)
+)"""
+
+
+# Every vector against every centroid, round by round.
+ORACLE["op11_centroids"] = """
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+    SELECT *, row_number() OVER () AS row FROM kept
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY digest, q) - 1 AS cluster, q
+    FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS digest, q FROM v WHERE vec_id IS NOT NULL ORDER BY digest, q LIMIT 16)
+), %s
+SELECT v.vec_id, CAST(near3.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY near3.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM near3 JOIN v USING (row) JOIN c3 ON c3.cluster = near3.cluster
+""" % ", ".join(map(_round_sql, range(4)))
