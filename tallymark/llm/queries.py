@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, centroids, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, topk, toxicity
+from tallymark.llm import bpe, centroids, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, tensor_minhash, topk, toxicity
 from tallymark.llm.tables import read
 
 #: In the order of their numbers.
@@ -245,3 +245,34 @@ SELECT v.vec_id, CAST(near3.cluster AS INTEGER) AS cluster, distance, CAST(sum(d
     CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
 FROM near3 JOIN v USING (row) JOIN c3 ON c3.cluster = near3.cluster
 """ % ", ".join(map(_round_sql, range(4)))
+
+
+@query
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document under links of 2-word shingle sets at 80 percent, and whether it stays."""
+    return tensor_minhash.link_documents(read(spark, sf_dir, "documents"))
+
+
+# Every pair that shares a shingle, counted; then all that a document reaches.
+ORACLE["op12_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS shingle FROM w, UNNEST(range(1, greatest(len(w) - 1, 1) + 1)) AS u(i) WHERE len(w) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM n UNION SELECT b, root FROM reach JOIN ways ON a = reach.doc_id
+), least AS (
+    SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.root, d.doc_id) AS component_id, coalesce(least.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
