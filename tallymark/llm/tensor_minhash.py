@@ -12,8 +12,9 @@ under ``miss``. Candidates are verified on their whole sets.
 The work stays linear. Documents with equal sets are one node. A sub-signature that only one node has makes no
 key. Nodes first vote for the hub of each sub-signature that they share, the node with most company; two votes for
 one hub are a common table key, and the best hub of a node is verified. Keys are written out only for what is
-left: sub-signatures shared by nodes of different components. All pairs of different components that
-have a key in common are verified, so no candidate is lost.
+left: sub-signatures shared by nodes of different components. Of these, blocks of nodes that voted alike meet if they
+have a key in common, and all pairs of different components that agree twice are verified inside; no pairs are
+written, and no candidate is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ STEP = 2048
 #: Places of the widest bit map, 32 MB, that marks documents whose sets are needed. Beyond some ten million of them more
 #: sets are built than needed; the join drops these.
 MOST_PLACES = 28
+#: Shingles and nodes of a block, nearly; two blocks meet in one task.
+BLOCK_SHINGLES, BLOCK_NODES = 500_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -138,13 +142,14 @@ def _marks(wanted: DataFrame, place: Column, places: int) -> np.ndarray:
     return marks
 
 
-def _verified(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, near: Near, folder: str) -> DataFrame:
-    """The pairs (``a``, ``b``) of nodes whose sets link, by their whole sets."""
+def _sets(ids: DataFrame, wanted: DataFrame, nodes: DataFrame, near: Near, folder: str) -> DataFrame:
+    """``node``, ``left``, ``right`` and ``held``, the whole set, of the nodes in ``wanted`` (``node``, ``side``: 1 left, 2 right, 3 both).
+
+    One pass over the documents, which builds the sets of those that a bit map of a size by their number marks.
+    """
     spark = ids.sparkSession
     schema = "node long, left boolean, right boolean, held array<long>"
-    sides = pairs.select(F.col("a").alias("node"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(2).alias("side")))
-    wanted = sides.groupBy("node").agg(F.bit_or("side").alias("side")).join(nodes.select("node", "doc_id"), "node")
-    wanted.write.parquet(f"{folder}/wanted")
+    wanted.join(nodes.select("node", "doc_id"), "node").write.parquet(f"{folder}/wanted")
     wanted = spark.read.schema("node long, side int, doc_id long").parquet(f"{folder}/wanted")
     count = wanted.count()
     places = 1 << min(max((16 * count).bit_length(), 16), MOST_PLACES)
@@ -171,17 +176,104 @@ def _verified(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, near: Near, fo
 
     ids.select(place, "text").mapInArrow(run, schema).write.parquet(f"{folder}/sets")
     sets = spark.read.schema(schema).parquet(f"{folder}/sets")
+    # A repeated row, of one id and text, gives its set once a task.
+    if sets.select("node").join(wanted.select("node"), "node", "left_semi").count() > count:
+        sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("left", "right", "held")))
+    return sets
 
-    def side(name: str, column: str) -> DataFrame:
-        held = sets.filter(name).select(F.col("node").alias(column), F.col("held").alias(f"held_{column}"))
-        return held if once else held.groupBy(column).agg(F.first(f"held_{column}").alias(f"held_{column}"))
 
-    # A repeated row, of one id and text, gives its set once a task.
-    once = sets.select("node").join(wanted.select("node"), "node", "left_semi").count() <= count
+def _verified(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, near: Near, folder: str) -> DataFrame:
+    """The pairs (``a``, ``b``) of nodes whose sets link, by their whole sets."""
+    sides = pairs.select(F.col("a").alias("node"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(2).alias("side")))
+    sets = _sets(ids, sides.groupBy("node").agg(F.bit_or("side").alias("side")), nodes, near, folder)
+    side = lambda name, column: sets.filter(name).select(F.col("node").alias(column), F.col("held").alias(f"held_{column}"))
     both = pairs.join(side("left", "a"), "a").join(side("right", "b"), "b")
     common = F.size(F.array_intersect("held_a", "held_b"))
     union = F.size("held_a") + F.size("held_b") - common
     both.filter(100 * common.cast("long") >= near.percent * union.cast("long")).select("a", "b").write.parquet(f"{folder}/links")
+    return ids.sparkSession.read.schema("a long, b long").parquet(f"{folder}/links")
+
+
+def links_within(left: pa.Table, right: pa.Table, near: Near, same: bool) -> list[tuple[int, int]]:
+    """Links between nodes of different components that agree in two sub-signatures, by their whole sets."""
+
+    def columns(rows: pa.Table) -> tuple:
+        numbers = (rows.column(c).to_numpy() for c in ("node", "n", "component"))
+        held = rows.column("held").combine_chunks()
+        subs = rows.column("subs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        return *numbers, subs, held.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
+
+    nodes_a, sizes_a, parts_a, subs_a, held_a, starts_a = columns(left)
+    nodes_b, sizes_b, parts_b, subs_b, held_b, starts_b = columns(right)
+    found = []
+    for i, node in enumerate(nodes_a):
+        least, most = np.minimum(sizes_b, sizes_a[i]), np.maximum(sizes_b, sizes_a[i])
+        open_still = (parts_b != parts_a[i]) & (100 * least >= near.percent * most)
+        if same:
+            open_still &= nodes_b > node
+        chosen = np.flatnonzero(open_still)
+        chosen = chosen[(subs_b[chosen] == subs_a[i]).sum(axis=1) >= 2]
+        if not len(chosen):
+            continue
+        own = held_a[starts_a[i] : starts_a[i + 1]]
+        others = np.concatenate([held_b[starts_b[j] : starts_b[j + 1]] for j in chosen])
+        at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+        common = np.add.reduceat((own[at] == others).astype(np.int64), np.concatenate([[0], np.cumsum(sizes_b[chosen])[:-1]]))
+        linked = 100 * common >= near.percent * (sizes_a[i] + sizes_b[chosen] - common)
+        found += [(int(node), int(other)) for other in nodes_b[chosen[linked]]]
+    return found
+
+
+def _rest(ids: DataFrame, nodes: DataFrame, shared: DataFrame, first: DataFrame, parts: DataFrame, near: Near, folder: str) -> DataFrame:
+    """Links between nodes of different components that have a table key in common.
+
+    Nodes that voted for one hub stand together in blocks of bounded size. Blocks that share a key of nodes of
+    different components meet in one group each; their nodes are compared there and only links come out.
+    """
+    spark = ids.sparkSession
+    placed = shared.select("sub", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed.write.parquet(f"{folder}/placed")
+    placed = spark.read.schema("node long, sub long, component long").parquet(f"{folder}/placed")
+    several = lambda rows, key: rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(key)
+    lists = (
+        placed.join(several(placed, "sub"), "sub")
+        .groupBy("node", "component")
+        # No more than there are sub-signatures.
+        .agg(F.sort_array(F.collect_set("sub")).alias("subs"))
+        .filter(F.size("subs") >= 2)
+    )
+    later = lambda x, i: F.transform(F.slice("subs", i + 2, F.size("subs")), lambda y: F.xxhash64(x, y))
+    lists.select("node", "component", F.explode(F.flatten(F.transform("subs", later))).alias("key")).write.parquet(f"{folder}/keys")
+    keys = spark.read.schema("node long, component long, key long").parquet(f"{folder}/keys")
+    keys = keys.join(several(keys, "key"), "key")
+    crowd = keys.select("node", "component").distinct().join(first.select(F.col("a").alias("node"), F.col("b").alias("family")), "node", "left")
+    crowd = crowd.withColumn("family", F.coalesce("family", "node")).join(nodes.select("node", "n", "subs"), "node")
+    crowd.write.parquet(f"{folder}/crowd")
+    crowd = spark.read.schema("node long, component long, family long, n long, subs array<long>").parquet(f"{folder}/crowd")
+    if crowd.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    room = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES))
+    blocks = crowd.groupBy("family").agg(room.alias("room"))
+    part = F.pmod(F.xxhash64("node"), "room")
+    crowd = crowd.join(blocks, "family").withColumn("block", F.xxhash64("family", part)).drop("family", "room")
+
+    held = keys.join(crowd.select("node", "block"), "node").select("key", "block").distinct()
+    met = held.select("key", F.col("block").alias("low")).join(held.select("key", F.col("block").alias("high")), "key")
+    met.filter("low <= high").select("low", "high").distinct().write.parquet(f"{folder}/met")
+    met = spark.read.schema("low long, high long").parquet(f"{folder}/met")
+    sets = _sets(ids, crowd.select("node", F.lit(1).alias("side")), nodes, near, folder)
+    crowd.join(sets.select("node", "held"), "node").write.parquet(f"{folder}/blocks")
+    rows = spark.read.schema("node long, component long, n long, subs array<long>, block long, held array<long>").parquet(f"{folder}/blocks")
+    at = lambda side, pairs: rows.join(pairs.withColumn("block", F.col(side)), "block").drop("block").withColumn("side", F.lit(side))
+    both = at("low", met).unionByName(at("high", met.filter("low < high")))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        left, right = (group.filter(pc.equal(group.column("side"), side)) for side in ("low", "high"))
+        same = key[0].as_py() == key[1].as_py()
+        found = links_within(left, left if same else right, near, same)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    both.groupBy("low", "high").applyInArrow(run, "a long, b long").write.parquet(f"{folder}/links")
     return spark.read.schema("a long, b long").parquet(f"{folder}/links")
 
 
@@ -226,30 +318,9 @@ def link_documents(df: DataFrame, near: Near | None = None, id_column: str = "do
     links = _verified(ids, first, nodes, near, f"{folder}/one")
     parts = connected_components(links)
 
-    # What is left: table keys of nodes of different components.
-    placed = shared.select("sub", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed.write.parquet(f"{folder}/placed")
-    placed = spark.read.schema("node long, sub long, n long, component long").parquet(f"{folder}/placed")
-    several = lambda rows, key: rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(key)
-    lists = (
-        placed.join(several(placed, "sub"), "sub")
-        .groupBy("node", "n", "component")
-        # No more than there are sub-signatures.
-        .agg(F.sort_array(F.collect_set("sub")).alias("subs"))
-        .filter(F.size("subs") >= 2)
-    )
-    later = lambda x, i: F.transform(F.slice("subs", i + 2, F.size("subs")), lambda y: F.xxhash64(x, y))
-    lists.select("node", "n", "component", F.explode(F.flatten(F.transform("subs", later))).alias("key")).write.parquet(f"{folder}/keys")
-    keys = spark.read.schema("node long, n long, component long, key long").parquet(f"{folder}/keys")
-    keys = keys.join(several(keys, "key"), "key")
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component"))) for side in "ab")
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _fit(near)
-    pairs = a.join(b, "key").filter(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    known = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs.join(known, ["a", "b"], "left_anti").write.parquet(f"{folder}/second")
-    second = spark.read.schema("a long, b long").parquet(f"{folder}/second")
-    if not second.isEmpty():
-        parts = connected_components(links.unionByName(_verified(ids, second, nodes, near, f"{folder}/two")))
+    more = _rest(ids, nodes, shared, first, parts, near, f"{folder}/two")
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
 
     named = nodes.select("node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
