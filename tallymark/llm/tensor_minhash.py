@@ -227,7 +227,7 @@ def links_within(left: pa.Table, right: pa.Table, near: Near, same: bool) -> lis
 def _rest(ids: DataFrame, nodes: DataFrame, shared: DataFrame, first: DataFrame, parts: DataFrame, near: Near, folder: str) -> DataFrame:
     """Links between nodes of different components that have a table key in common.
 
-    Nodes that voted for one hub stand together in blocks of bounded size. Blocks that share a key of nodes of
+    Nodes whose votes hang together stand together in blocks of bounded size. Blocks that share a key of nodes of
     different components meet in one group each; their nodes are compared there and only links come out.
     """
     spark = ids.sparkSession
@@ -246,7 +246,12 @@ def _rest(ids: DataFrame, nodes: DataFrame, shared: DataFrame, first: DataFrame,
     lists.select("node", "component", F.explode(F.flatten(F.transform("subs", later))).alias("key")).write.parquet(f"{folder}/keys")
     keys = spark.read.schema("node long, component long, key long").parquet(f"{folder}/keys")
     keys = keys.join(several(keys, "key"), "key")
-    crowd = keys.select("node", "component").distinct().join(first.select(F.col("a").alias("node"), F.col("b").alias("family")), "node", "left")
+    # Votes make trees: a hub has voted for another one. Who has no vote goes with the largest key it has.
+    heads = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head"))
+    voteless = keys.join(first.select(F.col("a").alias("node")), "node", "left_anti").join(heads, "key")
+    joined = voteless.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("size", "head"))["head"].alias("b"))
+    families = connected_components(first.unionByName(joined)).withColumnRenamed("component", "family")
+    crowd = keys.select("node", "component").distinct().join(families, "node", "left")
     crowd = crowd.withColumn("family", F.coalesce("family", "node")).join(nodes.select("node", "n", "subs"), "node")
     crowd.write.parquet(f"{folder}/crowd")
     crowd = spark.read.schema("node long, component long, family long, n long, subs array<long>").parquet(f"{folder}/crowd")
