@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, centroids, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, tensor_minhash, topk, toxicity
+from tallymark.llm import bpe, centroids, collocations, labelled_pages, licenses, mixing, page_text, repetition, revisits, secrets, shingle_join, tensor_minhash, topk, toxicity
 from tallymark.llm.tables import read
 
 #: In the order of their numbers.
@@ -276,3 +276,43 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.root, d.doc_id) AS component_id, coalesce(least.root, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of two and three words that hold together most, for each language."""
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+# All contiguous occurrences of up to three words, counted; every cut and every longer phrase looked up.
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, UNNEST(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), p AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM w, UNNEST([1, 2, 3]) AS s(k), UNNEST(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL
+), n AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM p WHERE k = 1 GROUP BY lang
+), c AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM p WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.phrase, cut, l.f AS l, r.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM c, UNNEST(range(1, c.k)) AS u(cut)
+    JOIN p l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ')
+    JOIN p r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), around AS (
+    SELECT lang, phrase, max(f) AS f FROM (
+        SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, a AS f FROM c, UNNEST([1, 2]) AS u(i) WHERE k = 3
+    ) GROUP BY lang, phrase
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT c.lang, c.phrase, a, l, r, n, score, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+    FROM c JOIN lowest USING (lang, phrase) JOIN n ON n.lang = c.lang LEFT JOIN around ON c.k = 2 AND around.lang = c.lang AND around.phrase = c.phrase
+    WHERE around.f IS NULL OR 100 * around.f < 50 * a
+) WHERE rank <= 2000
+"""
