@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymark.llm.shingle_join import mix
-from tallymark.llm.tables import bound_batches, slices
+from tallymark.llm.tables import DROP_SHUFFLES, bound_batches, setting, slices
 from tallymark.session import new_folder
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -35,7 +36,7 @@ _ONE = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _ENDS, bytes(range(97, 123)) + b" " + b"\n" * len(_ENDS))
 #: Bits of the smallest and the largest table of slots, a byte each.
-LEAST_BITS, MOST_BITS = 16, 26
+LEAST_BITS, MOST_BITS = 16, 25
 #: A slot that no scan counts yet.
 IDLE = 255
 #: Bytes of a text that are split into words at a time.
@@ -188,9 +189,8 @@ def _of_length(rows: DataFrame, length: int, how: Phrases) -> DataFrame:
     return rows.filter(F.col(f"w{length}").isNotNull()) if length else rows
 
 
-def _scan(docs: DataFrame, step: int, how: Phrases, active: list[np.ndarray]) -> DataFrame:
+def _scan(docs: DataFrame, step: int, how: Phrases, shared: Broadcast) -> DataFrame:
     """Counts of the phrases active in a scan, of its shard, by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(active)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(step, how, shared.value)
@@ -263,18 +263,22 @@ def frequent(df: DataFrame, how: Phrases, id_column: str, text_column: str, lang
     # The last scan is the one before the youngest phrases' cycle has come round.
     done, open_rows, step, last = [], None, 0, how.shards
     while step < last:
-        rows = _scan(docs, step, how, active)
+        shared = spark.sparkContext.broadcast(active)
+        rows = _scan(docs, step, how, shared)
         if open_rows is not None:
             rows = rows.unionByName(open_rows)
         over = F.col("start") + how.shards - 1 <= step
         # Whole counts that are too small go; words stay until their hashes are checked.
         kept = ~over | (F.col("n") >= how.least) | F.col("word").isNotNull() | F.col("w1").isNull()
-        rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter(kept).write.parquet(f"{folder}/{step}")
+        # The scans' shuffles would add up.
+        with setting(spark, DROP_SHUFFLES, "true"):
+            rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter(kept).write.parquet(f"{folder}/{step}")
+        shared.destroy()
         rows = spark.read.schema(schema).parquet(f"{folder}/{step}")
         if step == 0:
-            # A byte for every eighth word of the corpus, nearly.
+            # A byte for 32 words of the corpus, nearly.
             seen = rows.filter("w1 is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * how.shards
-            bits = min(max((seen // 8).bit_length(), LEAST_BITS), MOST_BITS)
+            bits = min(max((seen // 32).bit_length(), LEAST_BITS), MOST_BITS)
             active = [np.full(1 << bits, IDLE, np.uint8) for _ in active]
         if step == how.shards - 1:
             same = rows.filter("word is not null").groupBy("w1").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
