@@ -94,7 +94,7 @@ DISPLAY_NAMES = {
 
 # --- Fixed values: parameter grid of the classifiers -------------------------
 GRID = {
-    "svc": {"C": [0.01, 0.1, 0.9]},
+    "svc": {"kernel": ["linear", "rbf"], "C": [0.01, 0.1, 0.9]},
     "knn": {
         "n_neighbors": [5, 15, 50, 100],
         "metric": ["euclidean", "cosine", "manhattan"],

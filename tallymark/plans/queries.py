@@ -920,6 +920,44 @@ def grid_search(spark, sf_dir):
     )
 
 
+#: Standardised elements without a projection, so that SQL can follow every step.
+_PLAIN = [("gnb", {}, 0), ("knn", {"n_neighbors": 15, "metric": "euclidean"}, 0), ("knn", {"n_neighbors": 5, "metric": "manhattan"}, 0)]
+_NEAR_VOTE = """SELECT {at} AS candidate, fold, truth, arg_min(label, (-round(votes, 9), label)) AS predicted FROM (
+  SELECT fold, vec_id, truth, label, sum(1 / d) AS votes FROM (
+    SELECT t.fold, t.vec_id, t.label AS truth, s.label, {distance} AS d, row_number() OVER (PARTITION BY t.vec_id ORDER BY {distance}, s.label) AS place
+    FROM test t JOIN train s USING (fold)) WHERE place <= {k} GROUP BY ALL) GROUP BY fold, vec_id, truth"""
+
+
+@query(
+    f"""WITH {_SEPARABLE}, placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {sq.order_hash('vec_id', 0)}, vec_id) - 1) % 4 AS own FROM points),
+splits AS (SELECT f.fold, p.*, p.own = f.fold AS tested FROM placed p, range(4) f(fold)),
+elements AS (SELECT fold, vec_id, label, tested, UNNEST(range(1, len(v) + 1)) AS e, UNNEST(v) AS x FROM splits),
+moments AS (SELECT fold, e, avg(x) AS mean, stddev_samp(x) AS spread FROM elements WHERE NOT tested GROUP BY fold, e),
+scaled AS (SELECT fold, vec_id, label, tested, e, (x - mean) / spread AS z FROM elements JOIN moments USING (fold, e)),
+vectors AS (SELECT fold, vec_id, label, tested, list(z ORDER BY e) AS v FROM scaled GROUP BY ALL),
+test AS (SELECT * FROM vectors WHERE tested), train AS (SELECT * FROM vectors WHERE NOT tested),
+floor_of AS (SELECT fold, 1e-9 * max(spread) AS least FROM (SELECT fold, e, var_pop(z) AS spread FROM scaled WHERE NOT tested GROUP BY fold, e) GROUP BY fold),
+shape AS (SELECT fold, label AS c, e, avg(z) AS m, var_pop(z) AS s FROM scaled WHERE NOT tested GROUP BY fold, label, e),
+prior AS (SELECT fold, label AS c, ln(count(*)) AS p FROM train GROUP BY fold, label),
+odds AS (SELECT z.fold, z.vec_id, z.label, c, any_value(p) - 0.5 * sum(ln(2 * pi() * (s + least)) + (z - m) ** 2 / (s + least)) AS o
+  FROM scaled z JOIN shape USING (fold, e) JOIN prior USING (fold, c) JOIN floor_of USING (fold) WHERE tested GROUP BY z.fold, z.vec_id, z.label, c),
+guesses AS (SELECT 0 AS candidate, fold, label AS truth, arg_max(c, o) AS predicted FROM odds GROUP BY fold, vec_id, label
+  UNION ALL {_NEAR_VOTE.format(at=1, k=15, distance="list_distance(t.v, s.v)")}
+  UNION ALL {_NEAR_VOTE.format(at=2, k=5, distance="list_sum(list_transform(list_zip(t.v, s.v), lambda p: abs(p[1] - p[2])))")}),
+classes AS (SELECT DISTINCT label FROM points),
+counts AS (SELECT candidate, fold, c.label, count(*) FILTER (truth = c.label) AS n, count(*) FILTER (predicted = c.label) AS said, count(*) FILTER (truth = c.label AND predicted = c.label) AS hits
+  FROM guesses, classes c GROUP BY ALL)
+SELECT CAST(candidate AS INTEGER) AS candidate, CAST(fold AS INTEGER) AS fold, round(sum(n * 2.0 * hits / (n + said)) / sum(n), 6) AS f1, round(sum(hits) / sum(n), 6) AS accuracy
+FROM counts WHERE n > 0 GROUP BY candidate, fold"""
+)
+def plain_cross_validation(spark, sf_dir):
+    """F1 and accuracy of naive Bayes and neighbour votes on every fold."""
+    marks = gr.score_candidates(dv.separable(spark, sf_dir), _PLAIN, key="vec_id", vector="embedding", label="label")
+    rows = [(m["candidate"], m["fold"], round(m["f1"], 6), round(m["accuracy"], 6)) for m in marks]
+    return spark.createDataFrame(rows, "candidate int, fold int, f1 double, accuracy double")
+
+
 @query()
 def repeated_cv(spark, sf_dir):
     """F1 and accuracy of two classifiers on four folds, drawn ten times."""

@@ -68,14 +68,14 @@ def test_hashed_vector_query(spark):
 
 def test_learning_queries_do_the_whole_job(spark, monkeypatch):
     asked = {}
-    monkeypatch.setattr(grid, "score_candidates", lambda df, found, **how: asked.setdefault(how["vector"], []).append((df, found)) or [])
+    monkeypatch.setattr(grid, "score_candidates", lambda df, found, **how: asked.setdefault(how["vector"], []).append((df, found, how.get("seeds", (0,)))) or [])
     entry_points.queries()["grid_search"](spark, SF)
     found = asked.pop("embedding")[0][1]
-    assert len(found) == 62 and found == [c for c in grid.candidates() if c[2] <= 64]
+    assert len(found) == 68 and found == [c for c in grid.candidates() if c[2] <= 64]
     entry_points.queries()["repeated_cv"](spark, SF)
-    assert len(asked.pop("embedding")) == 10
+    assert [len(set(seeds)) for _, _, seeds in asked.pop("embedding")] == [10]
     entry_points.queries()["compare_embeddings"](spark, SF)
-    assert {vector: len(runs) for vector, runs in asked.items()} == {"embedding": 10, "hashed": 10}
+    assert {vector: [len(set(seeds)) for _, _, seeds in runs] for vector, runs in asked.items()} == {"embedding": [10], "hashed": [10]}
     row = asked["hashed"][0][0].first()
     assert len(row.hashed) == len(row.embedding) == 64 and row.hashed != row.embedding
     assert entry_points.queries()["project_vectors"](spark, SF).count() == 64
