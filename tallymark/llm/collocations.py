@@ -292,7 +292,9 @@ def frequent(df: DataFrame, how: Phrases, id_column: str, text_column: str, lang
     found = done[0]
     for rows in done[1:]:
         found = found.unionByName(rows)
-    return found.drop("start")
+    # Read many times, and far smaller than the scans' counts.
+    found.drop("start").write.parquet(f"{folder}/found")
+    return spark.read.schema(", ".join(c for c in schema.split(", ") if not c.startswith("start"))).parquet(f"{folder}/found")
 
 
 def _scored(found: DataFrame, length: int, how: Phrases) -> DataFrame:

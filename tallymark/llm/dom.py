@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
-from functools import cache
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,8 +65,8 @@ class Page:
         return len(self.parent) - 1
 
 
-@cache
 def _end_tag(name: str) -> re.Pattern[str]:
+    # Patterns are kept by their module. A cache of our own would be pickled by name, which workers without the package can't look up.
     return re.compile(rf"</{name}(?=[\s/>])", re.I | re.A)
 
 

@@ -152,6 +152,8 @@ def train(labelled: DataFrame, html_column: str = "html", most: int = 20_000) ->
     In a labelled page elements carry ``data-y``. Null and empty pages teach nothing.
     """
     sample = labelled.filter(F.length(html_column) > 0).orderBy(F.xxhash64(html_column), html_column).limit(most)
+    # A limit leaves one partition; pages are parsed by many tasks.
+    sample = sample.repartition(labelled.sparkSession.sparkContext.defaultParallelism)
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
@@ -206,11 +208,12 @@ def extract(df: DataFrame, model: Model, id_column: str = "page_id", url_column:
     A null or empty page, or one without main text, gives an empty text. Null ids and urls stay
     null, repeated rows are extracted each, further columns are left out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast class would be looked up by name, on workers that may lack the package.
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in slices(batch, 2, 2_000_000):
-            texts = page_texts(piece.column(2).to_pylist(), shared.value)
+            texts = page_texts(piece.column(2).to_pylist(), Model(**shared.value))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0).cast(pa.int64()), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

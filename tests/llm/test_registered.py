@@ -1,5 +1,9 @@
 """Registered queries of the text operators against their SQL, and the columns that are agreed."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -48,3 +52,28 @@ def test_agreed_columns_come_first(spark, name):
         return
     source = {"op6_page_text": "pages", "op11_centroids": "embeddings"}.get(name, "documents")
     assert found.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+AWAY = """
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__ as entry_points
+seen = spark.range(1).mapInArrow(lambda batches: (b for b in batches if importlib.util.find_spec("tallymark") is None), "id long").count()
+assert seen == 1, "workers see the package"
+for name, query in entry_points.queries().items():
+    if name.startswith("op"):
+        assert query(spark, sys.argv[2]).count() > 0, name
+        print(name)
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.abspath(entry_points.__file__))
+    script = tmp_path / "away.py"
+    script.write_text(AWAY)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, str(script), repo, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert len(run.stdout.split()) == 13
