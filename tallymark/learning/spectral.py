@@ -19,7 +19,7 @@ from tallymark.learning.shared import Totals, totals
 from tallymark.session import new_folder
 
 #: Vectors beyond those asked for, and multiplications in a round.
-SPARE, IMAGES = 5, 4
+SPARE, IMAGES = 5, 8
 
 
 def _block(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -61,7 +61,7 @@ def _image(rows: DataFrame, edges: DataFrame, column: str, first: int, width: in
     return sums.select("node", F.array(*(F.col(f"x{i}") for i in range(width))).alias("y"))
 
 
-def eigenvectors(edges: DataFrame, k: int, *, seed: int = 0, tolerance: float = 1e-4, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
+def eigenvectors(edges: DataFrame, k: int, *, seed: int = 0, tolerance: float = 1e-3, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
     """The ``k`` leading eigenvectors (``node``, ``degree``, ``v``) and eigenvalues, largest first.
 
     ``edges`` (``a``, ``b``, ``weight`` above 0) holds each pair of nodes once; repeated pairs add up, loops count. Of a graph with fewer
