@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ def words_of(folded: bytes) -> tuple[list[bytes], np.ndarray]:
 def word_hashes(held: list[bytes], lang: bytes) -> np.ndarray:
     """A hash for each word; the language is part of it."""
     seed = xxhash.xxh3_64_intdigest(lang)
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in held), np.uint64, len(held))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, held, repeat(seed)), np.uint64, len(held))
 
 
 def _counted(columns: list[np.ndarray], starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
