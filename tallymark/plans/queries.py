@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark import fixed
 from tallymark.functions import labels as lb
@@ -891,6 +892,37 @@ def project_vectors(spark, sf_dir):
     return parts.groupBy("component").agg(F.var_pop("x").alias("variance"), F.avg("x").alias("mean"))
 
 
+@query(
+    """WITH elements AS (SELECT vec_id, UNNEST(range(1, len(embedding) + 1)) AS e, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings),
+shared AS (SELECT a.e AS e, b.e AS f, covar_pop(a.x, b.x) AS c FROM elements a JOIN elements b USING (vec_id) GROUP BY a.e, b.e)
+SELECT count(*) FILTER (e = f) AS components, round(sum(c) FILTER (e = f), 6) AS spread, round(sum(c * c), 6) AS squares FROM shared"""
+)
+def projection_spread(spark, sf_dir):
+    """What a projection on all components keeps: the summed variance, and the summed squares of all covariances."""
+    out = vc.project(dv.table(spark, sf_dir, "embeddings"), "embedding", WHOLE_WIDTH)
+    parts = out.select(F.posexplode("components").alias("component", "x")).groupBy("component").agg(F.var_pop("x").alias("variance"))
+    found = parts.agg(F.count(F.lit(1)).alias("components"), F.sum("variance").alias("spread"), F.sum(F.col("variance") ** 2).alias("squares"))
+    return _round(found, "spread", "squares")
+
+
+@query("SELECT doc_id, count(*) AS files FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id")
+def scan_glob(spark, sf_dir):
+    """Rows of all tables that a glob names, one after the other, none of them empty."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+    rows = tables.scan(spark, f"{sf_dir.rstrip('/')}/{{documents,labels}}.parquet", ["doc_id"], schema)
+    return jn.require_rows(rows, "documents and labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _blank_separated():
+    return lambda text: text.split(" ")
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS tokens FROM documents")
+def user_token_counts(spark, sf_dir):
+    """Tokens of every text by a function of the user's, declared to return whole numbers."""
+    return dv.table(spark, sf_dir, "documents").select("doc_id", tx.count_tokens_with(_blank_separated)(F.col("text")).alias("tokens"))
+
+
 def _cluster_sizes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     found = vc.cluster(dv.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", mode=mode, columns=WHOLE_WIDTH)
     return found.groupBy("cluster_mode", "cluster_label").agg(F.count(F.lit(1)).alias("rows"))
