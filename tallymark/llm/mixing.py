@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallymark.llm.tables import columns_of
 from tallymark.session import cut_lineage
 
 #: Blocks of a source, however large it is: a block is under a thousandth of it.
@@ -159,7 +160,7 @@ def draw(df: DataFrame, mix: Mix | None = None, source_column: str = "source", t
     mix = mix or Mix()
     text, key = F.col(text_column), F.col(source_column)
     keyed = df.select(
-        F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+        F.struct(*columns_of(df)).alias("row"),
         F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key.cast("string"))).alias("mix_key"),
         F.xxhash64(F.col(id_column), text).alias("mix_order"),
         count_words(text).alias("mix_tokens"),

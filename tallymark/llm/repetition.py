@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallymark.llm.tables import SPACE, map_rows, slices
+from tallymark.llm.tables import SPACE, map_rows, map_whole, slices
 
 SYMBOLS = "#*$%&|<>"
 _NO_SPACE = SPACE.encode()
@@ -185,4 +185,4 @@ def keep_documents(df: DataFrame, rules: Rules | None = None, text_column: str =
             _, _, kept = measure(piece.column(at).to_pylist(), rules)
             yield piece.filter(pa.array(kept))
 
-    return map_rows(df, [df[c] for c in df.columns], keep, df.schema)
+    return map_whole(df, keep)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallymark.llm.tables import map_rows, slices
+from tallymark.llm.tables import map_rows, map_whole, slices
 
 #: The patterns of the base, in the order their kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -237,4 +237,4 @@ def mask_documents(df: DataFrame, text_column: str = "text", length_column: str
                 columns[length_at] = pa.array(held, piece.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
 
-    return map_rows(df, [df[c] for c in df.columns], run, df.schema)
+    return map_whole(df, run)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.counters import add_up, pack
-from tallymark.llm.tables import bound_batches, slices
+from tallymark.llm.tables import bound_batches, columns_of, slices
 from tallymark.session import new_folder
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -384,9 +384,9 @@ def keep_one(df: DataFrame, join: Join | None = None, id_column: str = "doc_id",
     kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
     repeated = not kept.filter("count > 1").isEmpty()
     # Merged at every size: the list of kept ids grows with the corpus and is no side to broadcast.
-    rows = df.join(kept.select(F.col("doc_id").alias(id_column)).hint("merge"), id_column, "left_semi").select(*df.columns)
+    rows = df.join(kept.select(F.col("doc_id").alias(id_column)).hint("merge"), id_column, "left_semi").select(*columns_of(df))
     if repeated:
-        row = F.struct(*[F.col(c) for c in df.columns])
+        row = F.struct(*columns_of(df))
         first = F.min_by(row, F.xxhash64(text_column))
         rows = rows.groupBy(F.col(id_column).alias("kept_id")).agg(first.alias("kept_row")).select("kept_row.*")
     return rows.unionByName(df.filter(F.col(id_column).isNull()))

@@ -9,11 +9,18 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: everything else belongs to a word.
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever stands in their names."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -51,7 +58,7 @@ def map_rows(
     df: DataFrame,
     columns: Sequence[str | Column],
     function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | T.StructType,
 ) -> DataFrame:
     """``function`` over batches that hold ``columns`` only, in the given order.
 
@@ -67,6 +74,13 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``function`` over batches of all columns of ``df``, which come back by their places under the names they had."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(name, field.dataType) for name, field in zip(plain, df.schema)])
+    return map_rows(df, [c.alias(name) for c, name in zip(columns_of(df), plain)], function, schema).toDF(*df.columns)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by its tasks."""
     holder = sys.modules.setdefault("tallymark_worker_state", types.ModuleType("tallymark_worker_state"))
