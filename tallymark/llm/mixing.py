@@ -7,9 +7,10 @@ source more often than a limit. A source's budget is spent in epochs. Every epoc
 fresh permutation: of the source's blocks, and of the documents in each block. Whole
 epochs take each document once. The last one stops at the document that meets the budget.
 
-Blocks follow a hash, so no task ever sorts a source: block sizes are summed map-side,
-one block per source is cut at a document, and a row knows from its hashes alone whether
-it is drawn.
+Documents belong to blocks by a hash, and a keyed bijection on block numbers ranks the blocks
+of an epoch, so a row knows from its hashes alone where it stands and whether it is drawn. No
+task sorts a source: block sizes are summed map-side, then those of the parts of the one
+block that the last epoch stops in, and only the part that holds the end is sorted.
 """
 
 from __future__ import annotations
@@ -24,8 +25,13 @@ from pyspark.sql.window import Window
 from tallymark.llm.tables import columns_of
 from tallymark.session import cut_lineage
 
-#: Blocks of a source, however large it is: a block is under a thousandth of it.
-BLOCKS = 1024
+#: Blocks of a source, a power of 4 for the bijection; a block in which an epoch stops is cut in as many parts.
+HALF_BITS = 5
+BLOCKS = 1 << 2 * HALF_BITS
+#: Rounds of the bijection; four make it pseudorandom.
+ROUNDS = 4
+#: Epochs made by one array. Sources of more are dealt out over tasks in pieces of so many.
+EPOCHS_AT_ONCE = 4096
 #: Exponents tried in one pass over the sources; each pass narrows the range so many times.
 SECTIONS = 16
 PASSES = 8
@@ -95,10 +101,32 @@ def _unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def _rank(seed: int, key: Column, epoch: Column, block: Column) -> Column:
+    """The place of a block in its epoch: a permutation of the block numbers by rounds that mix one half with a hash of the other."""
+    left, right = F.shiftright(block, HALF_BITS), block.bitwiseAND((1 << HALF_BITS) - 1)
+    shuffled = F.xxhash64(F.lit(seed), F.lit("block"), key, epoch)
+    for turn in range(ROUNDS):
+        mixed = F.xxhash64(shuffled, F.lit(turn), right).bitwiseAND((1 << HALF_BITS) - 1).cast("int")
+        left, right = right, left.bitwiseXOR(mixed)
+    return F.shiftleft(left, HALF_BITS) + right
+
+
+def _row_unit(seed: int, epoch: Column) -> Column:
+    """The place of a document in its block, in [0, 1)."""
+    return _unit(F.lit(seed), F.lit("row"), F.col("mix_order"), epoch)
+
+
+def _reached(sizes: DataFrame, size: str, order: str, goal: str) -> DataFrame:
+    """Of each key's parts the one in which the running total of ``size`` along ``order`` reaches ``goal``, with what is ``before``."""
+    along = Window.partitionBy("mix_key").orderBy(order)
+    return sizes.withColumn("before", F.sum(size).over(along) - F.col(size)).filter(f"before < {goal} and {goal} <= before + {size}")
+
+
 def plan_mix(keyed: DataFrame, mix: Mix) -> DataFrame:
     """One row per source that has tokens: weight, budget, whole epochs, and where the last epoch stops.
 
-    ``keyed`` has mix_key, mix_block, mix_order and mix_tokens.
+    ``keyed`` has mix_key, mix_block, mix_order and mix_tokens. ``stop_rank`` and ``stop_order`` are null
+    where no part of an epoch is left to draw.
     """
     # At most BLOCKS rows a source; read by every pass below.
     blocks = keyed.groupBy("mix_key", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")).filter("block_tokens > 0").persist()
@@ -115,28 +143,26 @@ def plan_mix(keyed: DataFrame, mix: Mix) -> DataFrame:
             .withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("long"))
             .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
         )
-        order = Window.partitionBy("mix_key").orderBy("stop_unit", "mix_block")
-        stops = (
-            blocks.join(plan.select("mix_key", "epochs", "rest"), "mix_key")
-            .withColumn("stop_unit", _unit(F.lit(mix.seed), F.lit("block"), F.col("mix_key"), F.col("epochs"), F.col("mix_block")))
-            .withColumn("before", F.sum("block_tokens").over(order) - F.col("block_tokens"))
-            .filter("before < rest and rest <= before + block_tokens")
-            .select("mix_key", F.col("mix_block").alias("stop_block"), "stop_unit", (F.col("rest") - F.col("before")).alias("stop_tokens"), F.col("epochs").alias("stop_epoch"))
+        ranked = blocks.join(plan.select("mix_key", "epochs", "rest"), "mix_key").withColumn(
+            "stop_rank", _rank(mix.seed, F.col("mix_key"), F.col("epochs"), F.col("mix_block"))
         )
-        # Documents of the stopping blocks only: under a thousandth of the rows.
-        inside = Window.partitionBy("mix_key").orderBy("stop_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = (
+        stops = _reached(ranked, "block_tokens", "stop_rank", "rest").select(
+            "mix_key", F.col("mix_block").alias("stop_block"), "stop_rank", F.col("epochs").alias("stop_epoch"), (F.col("rest") - F.col("before")).alias("goal")
+        )
+        # Ids and counts of under a thousandth of the documents; read twice.
+        inside = cut_lineage(
             _with_plan(keyed, stops)
             .filter("mix_block = stop_block and mix_tokens > 0")
-            .withColumn("stop_order", _unit(F.lit(mix.seed), F.lit("row"), F.col("mix_order"), F.col("stop_epoch")))
-            .withColumn("so_far", F.sum("mix_tokens").over(inside))
-            .filter("so_far >= stop_tokens")
-            .groupBy("mix_key")
-            .agg(F.min("stop_order").alias("stop_order"))
+            .withColumn("stop_order", _row_unit(mix.seed, F.col("stop_epoch")))
+            .select("mix_key", "stop_rank", "goal", F.floor(F.col("stop_order") * BLOCKS).cast("int").alias("part"), "stop_order", "mix_tokens")
         )
-        whole = plan.join(stops.drop("stop_epoch", "stop_tokens"), "mix_key", "left").join(cut, "mix_key", "left")
+        parts = inside.groupBy("mix_key", "goal", "part").agg(F.sum("mix_tokens").alias("part_tokens"))
+        last = _reached(parts, "part_tokens", "part", "goal").select("mix_key", "part", (F.col("goal") - F.col("before")).alias("goal"))
+        # Documents of one place, equal in id and text, are drawn together.
+        places = inside.drop("goal").join(last, ["mix_key", "part"]).groupBy("mix_key", "stop_rank", "goal", "stop_order").agg(F.sum("mix_tokens").alias("place_tokens"))
+        cut = _reached(places, "place_tokens", "stop_order", "goal").select("mix_key", "stop_rank", "stop_order")
         # A few columns a source; read by the draw without the corpus passes above.
-        return cut_lineage(whole)
+        return cut_lineage(plan.join(cut, "mix_key", "left"))
     finally:
         sizes.unpersist()
         blocks.unpersist()
@@ -148,14 +174,35 @@ def _with_plan(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(plan) if small else plan, "mix_key")
 
 
+def _each_epoch(drawn: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows once for every epoch that their source begins, in ``mix_epoch``; no array is longer than EPOCHS_AT_ONCE for 10^10 epochs."""
+    begun = F.sequence(F.lit(0).cast("long"), F.col("epochs"))
+    most = F.lit(EPOCHS_AT_ONCE)
+    often = F.col("epochs") >= most
+    # Rows and their order do not depend on this: it saves the second branch where no source repeats so often.
+    if plan.filter(often).isEmpty():
+        return drawn.withColumn("mix_epoch", F.explode(begun))
+    pieces = (
+        drawn.filter(often)
+        .withColumn("outer", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("epochs") / (most * most)))))
+        .withColumn("piece", F.explode(F.sequence(F.col("outer") * most, F.least((F.col("outer") + 1) * most - 1, F.floor(F.col("epochs") / most)))))
+    )
+    tasks = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, F.xxhash64("mix_order", "piece"))
+    late = dealt.withColumn("mix_epoch", F.explode(F.sequence(F.col("piece") * most, F.least((F.col("piece") + 1) * most - 1, F.col("epochs")))))
+    return drawn.filter(~often).withColumn("mix_epoch", F.explode(begun)).unionByName(late.drop("outer", "piece"))
+
+
 def draw(df: DataFrame, mix: Mix | None = None, source_column: str = "source", text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``df`` as often as they are drawn, in struct ``row``, with where each draw stands.
 
-    ``mix_tokens`` (words), ``mix_epoch`` (from 0), ``mix_block`` and ``mix_at``: sorted by it, the
-    sources run side by side at their weights, each block after block in its epoch's permutation.
+    ``mix_tokens`` (words), ``mix_epoch`` (from 0), ``mix_block``, ``mix_repeat`` (how many times over the
+    source is drawn) and ``mix_at`` in [0, 1]: sorted by it, the sources run side by side at their weights,
+    each block after block in its epoch's permutation. The last epoch is stretched to end at 1.
     A null source is a source of its own. Rows without words (null or empty text) have no share in a
     budget and are not drawn. Rows equal in id and text are drawn together. The last document
-    of a source may pass its budget. An empty table draws nothing.
+    of a source may pass its budget. An empty table draws nothing. A small source may be drawn very often
+    where the mix has no ``repeat_limit``; its epochs are dealt out over tasks.
     """
     mix = mix or Mix()
     text, key = F.col(text_column), F.col(source_column)
@@ -167,20 +214,28 @@ def draw(df: DataFrame, mix: Mix | None = None, source_column: str = "source", t
     ).withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col("mix_order")), F.lit(BLOCKS)).cast("int"))
     plan = plan_mix(keyed.drop("row"), mix)
     drawn = _with_plan(keyed.filter("mix_tokens > 0"), plan)
-    block_unit = _unit(F.lit(mix.seed), F.lit("block"), F.col("mix_key"), F.col("mix_epoch"), F.col("mix_block"))
-    row_unit = _unit(F.lit(mix.seed), F.lit("row"), F.col("mix_order"), F.col("mix_epoch"))
-    before = (F.col("unit") < F.col("stop_unit")) | ((F.col("unit") == F.col("stop_unit")) & (F.col("mix_block") < F.col("stop_block")))
-    at_stop = (F.col("mix_block") == F.col("stop_block")) & (F.col("row_unit") <= F.col("stop_order"))
+    place = (F.col("rank") + F.col("row_unit")) / BLOCKS
+    stop = (F.col("stop_rank") + F.col("stop_order")) / BLOCKS
+    # The first place of all may be 0, and so may be the place to stop at.
+    share = F.when(F.col("mix_epoch") < F.col("epochs"), place * F.col("tokens")).otherwise(F.when(stop > 0, place / stop).otherwise(0.0) * F.col("rest"))
+    up_to_stop = (F.col("rank") < F.col("stop_rank")) | ((F.col("rank") == F.col("stop_rank")) & (F.col("row_unit") <= F.col("stop_order")))
     return (
-        drawn.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
-        .withColumn("unit", block_unit)
-        .withColumn("row_unit", row_unit)
-        .filter((F.col("mix_epoch") < F.col("epochs")) | before | at_stop)
-        .withColumn("mix_at", (F.col("mix_epoch") * F.col("tokens") + F.col("unit") * F.col("tokens") + F.col("row_unit") * F.col("tokens") / F.lit(float(BLOCKS))) / F.col("budget"))
-        .select("row", "mix_tokens", "mix_epoch", "mix_block", "mix_at")
+        _each_epoch(drawn, plan)
+        .withColumn("rank", _rank(mix.seed, F.col("mix_key"), F.col("mix_epoch"), F.col("mix_block")))
+        .withColumn("row_unit", _row_unit(mix.seed, F.col("mix_epoch")))
+        .filter((F.col("mix_epoch") < F.col("epochs")) | up_to_stop)
+        .withColumn("mix_at", (F.col("mix_epoch") * F.col("tokens") + share) / F.col("budget"))
+        .withColumn("mix_repeat", F.col("budget") / F.col("tokens"))
+        .select("row", "mix_tokens", "mix_epoch", "mix_block", "mix_repeat", "mix_at")
     )
 
 
 def mix_documents(df: DataFrame, mix: Mix | None = None, **columns: str) -> DataFrame:
-    """The drawn rows of ``df``, each as often as it is drawn, with the columns of ``df`` alone."""
-    return draw(df, mix, **columns).select("row.*")
+    """The drawn rows of ``df`` with the columns of ``df`` alone, in the order of the mix.
+
+    Places are even in [0, 1], so equal slices of it are the partitions, and files, one after the other.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = draw(df, mix, **columns)
+    slice_ = F.least(F.floor(F.col("mix_at") * tasks), F.lit(tasks - 1)).cast("int")
+    return drawn.repartitionById(tasks, slice_).sortWithinPartitions("mix_at").select("row.*")

@@ -134,7 +134,7 @@ def test_mix_meets_its_target(spark):
         middle = (low + high) / 2
         low, high = (middle, high) if entropy(weights(middle)) > target else (low, middle)
     mix = mixing.Mix()
-    drawn = mixing.draw(docs, mix).select("row.doc_id", "row.source", "mix_tokens", "mix_epoch", "mix_block", "mix_at").collect()
+    drawn = mixing.draw(docs, mix).select("row.doc_id", "row.source", "mix_tokens", "mix_epoch", "mix_block", "mix_repeat", "mix_at").collect()
     for source, weight in weights(high).items():
         mine = [r for r in drawn if r.source == source]
         budget = round(weight * total)
@@ -147,9 +147,8 @@ def test_mix_meets_its_target(spark):
             times[r.doc_id] = times.get(r.doc_id, 0) + 1
         own = [i for i, _, s, _ in rows if s == source and words[i]]
         assert all(whole <= times.get(i, 0) <= whole + 1 for i in own)
-        # Blocks of few documents stand where their hashes fall, about their place.
-        assert all(0 <= r.mix_at <= 1.3 for r in mine)
-    again = mixing.draw(docs.repartition(3), mix).select("row.doc_id", "row.source", "mix_tokens", "mix_epoch", "mix_block", "mix_at").collect()
+        assert all(0 <= r.mix_at <= 1 and r.mix_repeat == budget / sizes[source] for r in mine)
+    again = mixing.draw(docs.repartition(3), mix).select("row.doc_id", "row.source", "mix_tokens", "mix_epoch", "mix_block", "mix_repeat", "mix_at").collect()
     assert sorted(map(str, again)) == sorted(map(str, drawn))
     limited = mixing.draw(docs, mixing.Mix(repeat_limit=1.5, budget=total)).select("row.source", "mix_tokens").collect()
     for source, size in sizes.items():
