@@ -1,8 +1,11 @@
 """Spectral clustering against a dense solver, average linkage against a tree cut by hand."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from tallymark.learning import linkage
 from tallymark.learning.linkage import average_linkage
 from tallymark.learning.spectral import eigenvectors
 from tallymark.learning.vectors import cluster
@@ -82,6 +85,32 @@ def test_average_linkage_is_the_tree_cut(spark, last):
         assert same_parts(labels, wanted) and set(labels.values()) == set(range(k))
 
 
+@pytest.mark.parametrize("few", [0, 60])
+def test_rounds_of_chunks_and_of_few_cut_the_same_tree(spark, monkeypatch, few):
+    draw = np.random.default_rng(12)
+    vectors = np.concatenate([draw.normal(size=(60, 4)), draw.normal(size=(4, 1, 4)).repeat(15, 1).reshape(60, 4) * 2 + draw.normal(size=(60, 4)) * 0.3])
+    # Chunks that meet, rounds of chunks alone, and rounds of few whose changes are written more than once.
+    for name, size in (("CHUNK_ROWS", 30), ("PIECE_ROWS", 7), ("AGAINST_ROWS", 11), ("FEW", few)):
+        monkeypatch.setattr(linkage, name, size)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(5)
+    labels = {r.id: r.cluster_label for r in average_linkage(df, "v", 6, last=60 if not few else 20).collect()}
+    assert same_parts(labels, linkage_by_hand(vectors, 6))
+
+
+def test_memory_of_nearest_clusters_follows_a_piece():
+    draw = np.random.default_rng(13)
+    heads, means = np.arange(40_000), draw.normal(size=(40_000, 4))
+    tracemalloc.start()
+    inner, place = linkage._best(heads[:400], means[:400], heads, means)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = means[:400] @ means.T
+    table[np.arange(400), np.arange(400)] = -np.inf
+    assert np.allclose(inner, table.max(axis=1)) and (place == table.argmax(axis=1)).all()
+    # A table of all pairs has 128 MB.
+    assert most < 30e6
+
+
 def test_few_directions(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<double>")
     assert {r.id: r.cluster_label for r in average_linkage(df, "v", 5).collect()} in ({1: 0, 2: 0, 3: 1}, {1: 1, 2: 1, 3: 0})
