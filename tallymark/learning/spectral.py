@@ -1,8 +1,8 @@
-"""Leading eigenvectors of a graph's normalised adjacency, by a block of vectors multiplied by joins.
+"""Leading eigenvectors of a graph's normalised adjacency, by a block of vectors multiplied in pieces.
 
-The vectors of all nodes stand in one table, a row for each node. A multiplication is a join of the edges with it and a sum
-for each node. The block and its images span a space in which the best vectors are found from inner products
-alone; these are sums of a size that the graph does not change. The best ones start the next round, until what a
+Nodes are dealt out in blocks of bounded size. A block's piece of the vectors and the edges that leave it meet in one task, which sends each
+other block its sums; a second task adds up what a block receives. The vectors and their images span a space in which the best vectors
+are found from inner products alone; these are sums of a size that the graph does not change. The best ones start the next round, until what a
 multiplication leaves beside them is small.
 """
 
@@ -14,58 +14,144 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallymark.learning.shared import Totals, totals
 from tallymark.session import new_folder
 
 #: Vectors beyond those asked for, and multiplications in a round.
-SPARE, IMAGES = 5, 8
+SPARE, IMAGES = 5, 12
+#: Nodes of a block on average, and nodes whose sums are made at a time.
+BLOCK_ROWS, PIECE_ROWS = 16384, 4096
 
+_IMAGE = "block int, image int, x binary"
 
-def _block(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatch]]:
+    held: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        for block in np.unique(blocks).tolist():
+            held.setdefault(block, []).append(batch.filter(pa.array(blocks == block)))
+    return held
 
-def _products(rows: DataFrame) -> np.ndarray:
-    """Inner products of the columns of ``b``."""
+
+def _numbers(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([part.column(part.schema.get_field_index(name)).to_numpy() for part in parts])
+
+
+def _pieces(parts: list[pa.RecordBatch], width: int) -> dict[int, np.ndarray]:
+    """The pieces of a block by the number of their image."""
+    rows = [row for part in parts for row in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+    return {image: np.frombuffer(x, np.float64).reshape(-1, width) for image, x in rows}
+
+
+def _packed_edges(edges: DataFrame, blocks: int) -> DataFrame:
+    """A row for each block: the edges (``to``, ``start``, ``share``) that leave it, in the order of their ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in _by_block(batches).items():
+            to, start, share = (_numbers(parts, name) for name in ("to", "start", "share"))
+            order = np.argsort(to, kind="stable")
+            packed = [to[order].tobytes(), start[order].astype(np.int32).tobytes(), share[order].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", "to", "start", "share"])
+
+    return edges.select("block", "to", "start", "share").repartitionById(blocks, F.col("block")).mapInArrow(run, "block int, to binary, start binary, share binary")
+
+
+def _packed_start(rows: DataFrame, blocks: int) -> DataFrame:
+    """A row for each block: its nodes' vectors ``v`` in the order of their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in _by_block(batches).items():
+            order = np.argsort(_numbers(parts, "place"))
+            v = np.concatenate([part.column(2).flatten().to_numpy(zero_copy_only=False) for part in parts]).reshape(len(order), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([v[order].tobytes()], pa.binary())], ["block", "image", "x"])
+
+    return rows.select("block", "place", "v").repartitionById(blocks, F.col("block")).mapInArrow(run, _IMAGE)
+
+
+def _multiplied(edges: DataFrame, x: DataFrame, width: int, image: int, blocks: int) -> DataFrame:
+    """The normalised adjacency times the vectors ``x``."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["block"], {}).update({name: value for name, value in row.items() if value is not None})
+        for row in held.values():
+            x = np.frombuffer(row["x"], np.float64).reshape(-1, width)
+            to, start, share = np.frombuffer(row["to"], np.int64), np.frombuffer(row["start"], np.int32), np.frombuffer(row["share"], np.float64)
+            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            ends, sums = to[first], np.empty((len(first), width))
+            for i in range(0, len(first), PIECE_ROWS):
+                mine = first[i : i + PIECE_ROWS]
+                some = slice(mine[0], first[i + PIECE_ROWS] if i + PIECE_ROWS < len(first) else len(to))
+                sums[i : i + PIECE_ROWS] = np.add.reduceat(x[start[some]] * share[some, None], mine - mine[0])
+            cuts = np.flatnonzero(np.append(True, (ends[1:] >> 32) != (ends[:-1] >> 32)))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]):
+                places = (ends[a:b] & 0xFFFFFFFF).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([int(ends[a] >> 32)], pa.int32()), pa.array([places.tobytes()], pa.binary()), pa.array([sums[a:b].tobytes()], pa.binary())], ["block", "places", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["block"], []).append((np.frombuffer(row["places"], np.int32), np.frombuffer(row["sums"], np.float64).reshape(-1, width)))
+        for block, parts in held.items():
+            # Every node has an edge. Parts are added in one order, so that a repeated task has the same sums.
+            out = np.zeros((1 + max(int(places.max()) for places, _ in parts), width))
+            for places, sums in sorted(parts, key=lambda part: part[1].tobytes()):
+                out[places] += sums
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([image], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "image", "x"])
+
+    both = edges.withColumn("x", F.lit(None).cast("binary")).unionByName(x.select("block", "x"), allowMissingColumns=True)
+    sums = both.repartitionById(blocks, F.col("block")).mapInArrow(multiply, "block int, places binary, sums binary")
+    return sums.repartitionById(blocks, F.col("block")).mapInArrow(add, _IMAGE)
+
+
+def _products(rows: DataFrame, width: int, blocks: int) -> np.ndarray:
+    """Inner products of all columns of all images."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Totals:
         total = 0.0
-        for batch in batches:
-            b = _block(batch, "b")
+        for parts in _by_block(batches).values():
+            pieces = _pieces(parts, width)
+            b = np.concatenate([pieces[image] for image in sorted(pieces)], axis=1)
             total = total + b.T @ b
         return {"products": total} if np.ndim(total) else {}
 
-    return totals(rows.select("b"), work, rows.sparkSession.sparkContext.defaultParallelism * 8)["products"]
+    return totals(rows.repartitionById(blocks, F.col("block")), work, blocks)["products"]
 
 
-def _turned(rows: DataFrame, turn: np.ndarray) -> DataFrame:
-    """The columns of ``b`` combined by a matrix, as ``v``."""
+def _turned(rows: DataFrame, turn: np.ndarray, width: int, blocks: int) -> DataFrame:
+    """The columns of the images combined by a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            turned = pa.array(list(_block(batch, "b")[:, : len(turn)] @ turn), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), turned], ["node", "degree", "v"])
+        for block, parts in _by_block(batches).items():
+            out = sum(x @ turn[image * width : (image + 1) * width] for image, x in sorted(_pieces(parts, width).items(), key=lambda piece: piece[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "image", "x"])
+
+    return rows.repartitionById(blocks, F.col("block")).mapInArrow(run, _IMAGE)
 
-    kind = rows.schema["node"].dataType.simpleString()
-    return rows.select("node", "degree", "b").mapInArrow(run, f"node {kind}, degree double, v array<double>")
 
+def _unpacked(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """(``block``, ``place``, ``v``): the first ``k`` of the vectors."""
 
-def _image(rows: DataFrame, edges: DataFrame, column: str, first: int, width: int) -> DataFrame:
-    """(``node``, ``y``): the normalised adjacency times ``width`` columns of the block from ``first`` on."""
-    at = [F.col(column)[first + i] for i in range(width)]
-    held = rows.select(F.col("node").alias("b"), F.col("degree").alias("degree_b"), *(c.alias(f"x{i}") for i, c in enumerate(at)))
-    share = F.col("weight") / F.sqrt("degree_b")
-    sums = edges.join(held, "b").groupBy(F.col("a").alias("node")).agg(*(F.sum(share * F.col(f"x{i}")).alias(f"x{i}") for i in range(width)))
-    return sums.select("node", F.array(*(F.col(f"x{i}") for i in range(width))).alias("y"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                v = np.frombuffer(x, np.float64).reshape(-1, width)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), block, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(list(v), pa.list_(pa.float64()))], ["block", "place", "v"])
+
+    return rows.mapInArrow(run, "block int, place int, v array<double>")
 
 
 def eigenvectors(edges: DataFrame, k: int, *, seed: int = 0, tolerance: float = 1e-3, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
     """The ``k`` leading eigenvectors (``node``, ``degree``, ``v``) and eigenvalues, largest first.
 
     ``edges`` (``a``, ``b``, ``weight`` above 0) holds each pair of nodes once; repeated pairs add up, loops count. Of a graph with fewer
-    than ``k`` nodes there are as many vectors. Each round is written to the shared folder.
+    than ``k`` nodes there are as many vectors. The images of a round are written to the shared folder, over those of the round before.
     """
     spark = edges.sparkSession
     folder = new_folder(spark, "spectral")
@@ -74,21 +160,31 @@ def eigenvectors(edges: DataFrame, k: int, *, seed: int = 0, tolerance: float =
     edges = spark.read.parquet(f"{folder}/edges")
     nodes = edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
     count = nodes.count()
-    k, width = min(k, count), min(k + SPARE, count)
+    k, width, blocks = min(k, count), min(k + SPARE, count), -(-count // BLOCK_ROWS) or 1
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    place = F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1
+    nodes.withColumn("block", block).withColumn("place", place).write.parquet(f"{folder}/nodes")
+    nodes = spark.read.parquet(f"{folder}/nodes")
     draw = [(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / float(1 << 19) - 1.0) for i in range(width)]
     # The first vector is the known one, so that its value is exact from the start.
     start = [F.sqrt("degree"), *draw[1:]]
-    nodes.select("node", "degree", F.array(*start).alias("v")).write.parquet(f"{folder}/start")
-    rows, values = spark.read.parquet(f"{folder}/start"), np.zeros(width)
+    _packed_start(nodes.withColumn("v", F.array(*start)), blocks).write.parquet(f"{folder}/start-0")
+    at = nodes.select(F.col("node").alias("a"), F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("to"), F.col("degree").alias("degree_a"))
+    left = nodes.select(F.col("node").alias("b"), "block", F.col("place").alias("start"), F.col("degree").alias("degree_b"))
+    share = F.col("weight") / (F.sqrt("degree_a") * F.sqrt("degree_b"))
+    _packed_edges(edges.join(at, "a").join(left, "b").withColumn("share", share), blocks).write.parquet(f"{folder}/packed")
+    packed = spark.read.parquet(f"{folder}/packed")
+
+    def images(*paths: str) -> DataFrame:
+        return spark.read.schema(_IMAGE).parquet(*(f"{folder}/{path}" for path in paths))
+
+    values = np.zeros(width)
     for number in range(rounds):
-        block = rows.withColumnRenamed("v", "b")
-        for image in range(IMAGES):
-            y = _image(block, edges, "b", image * width, width)
-            scaled = F.transform("y", lambda x: x / F.sqrt("degree"))
-            block = block.join(y, "node").select("node", "degree", F.concat("b", scaled).alias("b"))
-            block.write.parquet(f"{folder}/{number}-{image}")
-            block = spark.read.parquet(f"{folder}/{number}-{image}")
-        products = _products(block)
+        # The vectors of this round are read while those of the next one are written.
+        paths = [f"start-{number % 2}", *(f"image-{image}" for image in range(1, IMAGES + 1))]
+        for image in range(1, IMAGES + 1):
+            _multiplied(packed, images(paths[image - 1]), width, image, blocks).write.mode("overwrite").parquet(f"{folder}/{paths[image]}")
+        products = _products(images(*paths), width, blocks)
         size = IMAGES * width
         inner, moved = products[:size, :size], products[:size, width:]
         spread, turn = np.linalg.eigh(inner)
@@ -100,10 +196,10 @@ def eigenvectors(edges: DataFrame, k: int, *, seed: int = 0, tolerance: float =
         both = np.zeros((size + width, turn.shape[1]))
         both[width:] += turn
         both[:size] -= turn * values
-        left = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", both, products, both), 0.0))
-        width = turn.shape[1]
-        _turned(block, turn).write.parquet(f"{folder}/{number}")
-        rows = spark.read.parquet(f"{folder}/{number}")
-        if left[:k].max(initial=0.0) <= tolerance:
+        beside = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", both, products, both), 0.0))
+        rows = _turned(images(*paths[:-1]), turn, width, blocks)
+        rows.write.mode("overwrite").parquet(f"{folder}/start-{(number + 1) % 2}")
+        rows, width = images(f"start-{(number + 1) % 2}"), turn.shape[1]
+        if beside[:k].max(initial=0.0) <= tolerance:
             break
-    return rows.withColumn("v", F.slice("v", 1, min(k, width))), values[:k]
+    return nodes.join(_unpacked(rows, width, min(k, width)), ["block", "place"]).select("node", "degree", "v"), values[:k]

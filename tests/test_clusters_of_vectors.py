@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from tallymark.learning import linkage
+from tallymark.learning import linkage, spectral
 from tallymark.learning.linkage import average_linkage
 from tallymark.learning.spectral import eigenvectors
 from tallymark.learning.vectors import cluster
@@ -45,6 +45,32 @@ def test_small_graphs(spark):
     assert found.count() == 5
 
 
+def test_eigenvectors_of_many_blocks_of_nodes(spark, monkeypatch, tmp_path):
+    draw = np.random.default_rng(14)
+    n, weights = 150, np.zeros((150, 150))
+    for i in range(n):
+        # Groups of unlike sizes, one node with an edge to every other, and a loop.
+        for j in range(i):
+            if j == 0 or draw.random() < (0.3 if i // 60 == j // 60 else 0.02):
+                weights[i, j] = weights[j, i] = draw.choice([0.5, 1.0])
+    weights[7, 7] = 2.0
+    edges = [(f"n{i}", f"n{j}", float(weights[i, j])) for i, j in zip(*np.nonzero(np.tril(weights)))]
+    monkeypatch.setattr(spectral, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(spectral, "PIECE_ROWS", 3)
+    monkeypatch.setattr(spectral, "new_folder", lambda *_: str(tmp_path / "shared"))
+    found, values = eigenvectors(spark.createDataFrame(edges, "a string, b string, weight double").repartition(5), 3)
+    degree = weights.sum(axis=1)
+    dense = weights / np.sqrt(np.outer(degree, degree))
+    rows = {r.node: (r.degree, r.v) for r in found.collect()}
+    held = np.array([rows[f"n{i}"][1] for i in range(n)])
+    assert np.allclose([rows[f"n{i}"][0] for i in range(n)], degree)
+    assert np.allclose(values, np.linalg.eigvalsh(dense)[::-1][:3], atol=1e-3)
+    assert np.abs(dense @ held - held * values).max() < 1e-3
+    # Images of one round only, each of eight bytes for a node and vector, however many rounds there are.
+    sizes = [spark.read.parquet(str(path)).selectExpr("sum(length(x))").first()[0] for path in (tmp_path / "shared").glob("image-*")]
+    assert len(sizes) == spectral.IMAGES and set(sizes) == {8 * n * (3 + spectral.SPARE)}
+
+
 def test_spectral_mode_recovers_rings(spark):
     draw = np.random.default_rng(10)
     angle = draw.uniform(0, 2 * np.pi, 160)
